@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import MIX, chunks, gather, mix, ready, spans_hash, utf8
+from themeloom.llm.common import BLOCK, MIX, chunks, gather, mix, ready, spans_hash, utf8, words_at
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -75,6 +75,8 @@ class Vocabulary:
         at = self.hash.slots(keys)
         self.slot_id, self.slot_start, self.slot_length = (np.zeros(len(ids), np.int64) for _ in range(3))
         self.slot_id[at], self.slot_start[at], self.slot_length[at] = ids, ends - lengths, lengths
+        self.slot_head = np.zeros(len(ids), np.uint64)
+        self.slot_head[at] = words_at(self.data, ends - lengths, lengths)
         self.id_start, self.id_length = (np.zeros(int(ids.max()) + 1, np.int64) for _ in range(2))
         self.id_start[ids], self.id_length[ids] = ends - lengths, lengths
 
@@ -86,42 +88,45 @@ class Vocabulary:
     def whole(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Ids of spans that are tokens, else -1; the bytes are compared, not their hash alone."""
         slot, lengths = self.hash.slots(keys), ends - starts
-        hit = np.flatnonzero((self.slot_length[slot] == lengths) & (lengths > 0))
-        out = np.full(len(starts), -1, np.int64)
-        if len(hit):
-            n = lengths[hit]
-            same = gather(data, starts[hit], n) == gather(self.data, self.slot_start[slot[hit]], n)
-            first = np.zeros(len(hit), np.int64)
-            np.cumsum(n[:-1], out=first[1:])
-            good = hit[np.logical_and.reduceat(same, first)]
-            out[good] = self.slot_id[slot[good]]
-        return out
+        hit = (self.slot_length[slot] == lengths) & (self.slot_head[slot] == words_at(data, starts, lengths))
+        rest = np.flatnonzero(hit & (lengths > 8))
+        if len(rest):
+            n = lengths[rest] - 8
+            same = gather(data, starts[rest] + 8, n) == gather(self.data, self.slot_start[slot[rest]] + 8, n)
+            hit[rest] = np.logical_and.reduceat(same, n.cumsum() - n)
+        return np.where(hit, self.slot_id[slot], -1)
 
     def bytes_of(self, ids: np.ndarray) -> np.ndarray:
         return gather(self.data, self.id_start[ids], self.id_length[ids]) if len(ids) else np.zeros(0, np.uint8)
 
 
-def merge(token: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a pre-token: the pair of least rank is merged, leftmost first; pairs wait in a heap, parts are linked."""
+def merge(token: bytes, ranks: dict[bytes, int], heap: list[int] | None = None) -> list[int]:
+    """Ids of a pre-token: the pair of least rank is merged, leftmost first; pairs wait in a heap, parts are linked.
+
+    An entry holds rank, start and end of a pair in one number; heap: the entries of the byte pairs, if they are at hand.
+    """
     n = len(token)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     rank = ranks.get
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(token[i : i + 2])) is not None]
+    if heap is None:
+        heap = [r << 64 | i << 32 | i + 2 for i in range(n - 1) if (r := rank(token[i : i + 2])) is not None]
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heapify(heap)
     while heap:
-        _, i, end = heappop(heap)
+        x = heappop(heap)
+        end = x & 0xFFFFFFFF
+        i = x >> 32 & 0xFFFFFFFF
         mid = after[i]
         if mid < 0 or mid >= n or after[mid] != end:
             continue  # one of its parts has been merged since
         after[i], after[mid] = end, -1
         left = before[i]
         if left >= 0 and (r := rank(token[left:end])) is not None:
-            heappush(heap, (r, left, end))
+            heappush(heap, r << 64 | left << 32 | end)
         if end < n:
             before[end] = i
             right = after[end]
             if (r := rank(token[i:right])) is not None:
-                heappush(heap, (r, i, right))
+                heappush(heap, r << 64 | i << 32 | right)
     out, i = [], 0
     while i < n:
         out.append(ranks[token[i : after[i]]])
@@ -129,6 +134,57 @@ def merge(token: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+
+
+def _kinds() -> np.ndarray:
+    every = "".join(map(chr, range(0x110000)))
+    out = np.full(0x110000, _OTHER, np.uint8)
+    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
+        for m in regex.finditer(pattern, every):
+            out[m.start() : m.end()] = kind
+    return out
+
+
+def pretokens(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Starts, in bytes, of the pre-tokens that PATTERN finds in each text; each ends where the next starts."""
+    code = np.frombuffer(data.tobytes().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(code)
+    at = None
+    if n != len(data):
+        width = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+        width[(code >= 0xDC80) & (code <= 0xDCFF)] = 1
+        at = np.zeros(n + 1, np.int64)
+        np.cumsum(width, out=at[1:])
+        offsets = np.searchsorted(at, offsets)
+    kind = kinds[code]
+    border = np.zeros(n + 1, bool)
+    border[offsets] = True  # where texts meet
+    edge = border.copy()
+    edge[1:n] |= kind[1:] != kind[:-1]
+    start = edge[:n].copy()
+    begin = np.flatnonzero(edge)
+    final = begin[1:] - 1  # each run's last character
+    # White space before other text in the same text: the last character stands apart, and a space joins what follows.
+    tail = final[(kind[begin[:-1]] == _SPACE) & ~border[begin[1:]]]
+    start[tail] = True
+    joins = tail[code[tail] == 32]
+    start[joins + 1] = False
+    # Contractions: an apostrophe that starts a pre-token, before one of the endings.
+    mark = np.flatnonzero((code[: n - 1] == 39) & start[: n - 1] & (kind[1:] == _LETTER) & ~border[1:n])
+    if len(mark):
+        q, r = code[mark + 1], code[np.minimum(mark + 2, n - 1)]
+        two = (mark + 2 < n) & ~border[mark + 2] & (((q == 114) & (r == 101)) | ((q == 118) & (r == 101)) | ((q == 108) & (r == 108)))
+        one = (q == 115) | (q == 116) | (q == 109) | (q == 100)
+        mark, size = mark[one | two], np.where(two, 3, 2)[one | two]
+        start[mark + 1] = False
+        after = mark + size
+        inner = after[(after < n) & ~border[after]]
+        start[inner[kind[inner] == _LETTER]] = True
+    start = np.flatnonzero(start)
+    return start if at is None else at[start]
+
+
 class Encoder:
     """A worker's vocabulary and the merges that it has done; the memo is emptied when full, which changes no result."""
 
@@ -137,7 +193,11 @@ class Encoder:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary.load(path)
         self.ranks = {t: int(self.vocabulary.slot_id[s]) for t, s in zip(self.vocabulary.tokens, self._slots(), strict=True)}
-        self.split = regex.compile(PATTERN).findall
+        self.kinds = _kinds()
+        self.pairs = np.full(1 << 16, -1, np.int64)
+        for token, r in self.ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = r
         self.memo: dict[bytes, list[int]] = {}
 
     def _slots(self) -> list[int]:
@@ -156,27 +216,24 @@ class Encoder:
         """Ids in a row, and how many each text has."""
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-        raw = data.tobytes()
-        parts = [self.split(raw[i:j].decode("utf-8", "surrogateescape")) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        n = np.fromiter(map(len, parts), np.int64, len(parts))
-        chars = np.fromiter(map(len, chain.from_iterable(parts)), np.int64, int(n.sum()))
-        begins = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-        ends = begins[chars.cumsum()]
-        starts = np.concatenate([[0], ends[:-1]])
+        starts = pretokens(data, offsets, self.kinds)
+        n = np.diff(np.searchsorted(starts, offsets))
+        ends = np.append(starts[1:], len(data))
         keys = spans_hash(data, starts, ends)
         ids = self.vocabulary.whole(data, starts, ends, keys)
         miss = np.flatnonzero(ids < 0)
         counts = np.ones(len(ids), np.int64)
         if len(miss):
             _, first, back = np.unique(keys[miss], return_index=True, return_inverse=True)
-            found, memo, ranks = [], self.memo, self.ranks
+            found, memo, ranks, raw = [], self.memo, self.ranks, data.tobytes()
             if len(memo) > MEMO:
                 memo.clear()
+            pairs = self.pairs[data[:-1].astype(np.int64) << 8 | data[1:]]
             for i, j in zip(starts[miss[first]].tolist(), ends[miss[first]].tolist(), strict=True):
                 token = raw[i:j]
                 x = memo.get(token)
                 if x is None:
-                    x = memo[token] = merge(token, ranks)
+                    x = memo[token] = merge(token, ranks, [r << 64 | k << 32 | k + 2 for k, r in enumerate(pairs[i : j - 1].tolist()) if r >= 0])
                 found.append(x)
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
@@ -214,7 +271,7 @@ def encode_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         encoder = Encoder.of(ranks)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for i, j in chunks(offsets, 4 << 20):
+            for i, j in chunks(offsets, BLOCK):
                 own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 ids, counts = encoder.encode(own, at)
                 back, sizes = encoder.decode(ids, counts)

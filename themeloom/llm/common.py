@@ -109,10 +109,17 @@ def chunks(offsets: np.ndarray, most: int):
         i = j
 
 
-_POWERS = np.empty(4096, np.uint64)
-_POWERS[0] = 1
-for _i in range(1, 4096):
-    _POWERS[_i] = np.uint64((int(_POWERS[_i - 1]) * 0x5851F42D4C957F2D) & (2**64 - 1))
+BLOCK = 1 << 19
+_BASE = 0x5851F42D4C957F2D
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(BLOCK, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWERS, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 2**64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -135,18 +142,36 @@ def runs(kinds: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; spans are in order and apart."""
+    """A 64-bit hash of each span of bytes, a polynomial in an odd base; spans are in order and apart."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
-    first = np.zeros(len(starts), np.int64)
-    np.cumsum(lengths[:-1], out=first[1:])
-    total = int(lengths.sum())
-    inside = np.arange(total, dtype=np.int64) - np.repeat(first, lengths)
-    values = data[inside + np.repeat(starts, lengths)].astype(np.uint64)
-    values += np.uint64(1)
-    values *= _POWERS[inside & 4095] + (inside >> 12).astype(np.uint64)
-    return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    if len(data) <= BLOCK:
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.add(data, np.uint64(1), out=total[1:], dtype=np.uint64)
+        total[1:] *= _POWERS[: len(data)]
+        np.cumsum(total, out=total)
+        value = (total[ends] - total[starts]) * _INVERSE[np.minimum(starts, len(data) - 1)]
+    else:
+        first = np.zeros(len(starts), np.int64)
+        np.cumsum(lengths[:-1], out=first[1:])
+        inside = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)
+        values = data[inside + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)
+        values *= _POWERS[inside & (BLOCK - 1)] + (inside >> 19).astype(np.uint64)
+        value = np.add.reduceat(np.append(values, np.uint64(0)), first)
+        value[lengths == 0] = 0
+    return mix(value + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def words_at(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The first 8 bytes of each span as one number, 0 beyond its end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    view = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    return view[starts] & _MASKS[np.minimum(lengths, 8)]
+
+
+_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 
 
 def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import chunks, mix, ready, runs, spans_hash, utf8
+from themeloom.llm.common import BLOCK, chunks, mix, ready, runs, spans_hash, utf8
 
 SAMPLE, DIMS, FEATURES, NEIGHBOURS, SIZE = 4000, 64, 4096, 15, 1 << 18
 _KIND = np.full(256, 2, np.uint8)
@@ -101,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(3))
-            for i, j in chunks(offsets, 4 << 20):
+            for i, j in chunks(offsets, BLOCK):
                 row, ids, count = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 at = pa.array(np.searchsorted(row, np.arange(j - i + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (ids, count)]
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
 
 def judged(model: Model, column: pa.Array, neighbours: int) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = utf8(column)
-    parts = [model.embed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets, 2 << 20)]
+    parts = [model.embed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets, BLOCK)]
     return model.vote(np.concatenate(parts) if parts else np.zeros((0, model.project.shape[1]), np.float32), neighbours)
 
 

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from themeloom.llm import bpe, exact, minhash, mixing, quality
+from themeloom.llm import bpe, chat, exact, fingerprint, langid, lattice, minhash, mixing, pii, quality
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_pairs(_docs(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_docs(spark, sf_dir))
 
@@ -31,12 +35,30 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_docs(spark, sf_dir))
 
 
+def op6_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return lattice.score(docs, lattice.fit(docs))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_docs(spark, sf_dir))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_docs(spark, sf_dir))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return langid.identify(docs, langid.fit(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_exact_dedup, op3_quality, op4_near_dedup, op5_byte_bpe, op9_mix_sources)
+    own = (op1_fingerprints, op2_exact_dedup, op3_quality, op4_near_dedup, op5_byte_bpe, op6_lattice_likelihood, op7_chat_format, op8_pii_surrogates, op9_mix_sources, op10_language_id)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
