@@ -87,7 +87,7 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
 
 def binary(rows: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
     """A binary column of equal-width rows of a 2-d array."""
-    flat = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1)
+    flat = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), rows.shape[1] * rows.itemsize)
     keep = np.ones(len(flat), bool) if valid is None else valid
     return ragged(flat[keep].reshape(-1), np.where(keep, flat.shape[1], 0), keep)
 

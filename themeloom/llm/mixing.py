@@ -76,18 +76,18 @@ def mixed(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", weigh
     names = sorted(want)
     n_blocks = np.array([-(-want[s] // block) for s in names], np.int64)
     ends = split(n_blocks, shards, seed).cumsum(0) if names else np.zeros((shards, 0), np.int64)
-    bits = max(0, int(np.ceil(np.log2(max(1, max(counts.values(), default=1) / bucket)))))
+    bits = min(40, max(0, int(np.ceil(np.log2(max(1, max(counts.values(), default=1) / bucket)))))
 
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), tag(F.col(source)).alias("s"), F.col(doc_id).alias("id"))
-    hashed = rows.withColumn("key", F.xxhash64(F.lit(seed), "id", "s", *([F.col("row.text")] if "text" in docs.columns else [])))
-    hashed = hashed.withColumn("bucket", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long"))
+    hashed = rows.withColumn("key", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "s", *([F.col("row.text")] if "text" in docs.columns else [])), 1))
+    hashed = hashed.withColumn("bucket", F.shiftright("key", 63 - bits))
     cells = hashed.groupBy("s", "bucket").count()
     before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("s", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     known = spark.createDataFrame([(s, i, want[s]) for i, s in enumerate(names)], "s string, source_no int, want long")
     n_cells = sum(min(1 << bits, n) for n in counts.values())
     cells = cells.join(small(known, len(names), 40), "s")
-    ranked = hashed.withColumn("rank", F.row_number().over(Window.partitionBy("s", "bucket").orderBy(F.shiftleft("key", bits), "id")))
+    ranked = hashed.withColumn("rank", F.row_number().over(Window.partitionBy("s", "bucket").orderBy("key", "id")))
     ranked = ranked.join(small(cells, n_cells, 60), ["s", "bucket"]).withColumn("rank", F.col("rank") + F.col("before") - 1).where("rank < want")
 
     @F.pandas_udf("int")
