@@ -1,0 +1,75 @@
+import re
+
+from themeloom.llm import pii
+from themeloom.llm.common import Scratch
+
+
+def test_kinds_and_borders():
+    text = "Mail ana.b+1@mail7.example.com or +1 (017) 555-7713; card 9807 9157 6280 4490, ip 10.0.255.3. SSN 123-45-6789, token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" v1.2.3.4.5 999.1.1.1 Mrs. Smith and Mary Jones met Анна Петрова."
+    found = {(k.split("-")[0], text[s:e]) for s, e, k, _ in pii.mentions(text)}
+    assert {("email", "ana.b+1@mail7.example.com"), ("phone", "+1 (017) 555-7713"), ("card", "9807 9157 6280 4490"), ("ip", "10.0.255.3"), ("ssn", "123-45-6789"), ("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962"), ("last", "Smith"), ("first", "Mary"), ("last", "Jones"), ("first", "Анна"), ("last", "Петрова")} <= found
+    assert not [x for x in found if x[0] == "ip" and x[1] != "10.0.255.3"]
+
+
+def test_surrogates_keep_format_gender_script_and_checks():
+    for kind, name in [("card", "4539578763621486"), ("card", "1234567890123456"), ("phone", "10175557713"), ("ssn", "123456789"), ("ip", "10.0.255.3"), ("secret", "ab12" * 10), ("email", "ana.b1@mail7.example.com"), ("iban", "DE89370400440532013000")]:
+        other = pii.surrogate(b"k", kind, name)
+        assert other != name and other == pii.surrogate(b"k", kind, name) and other != pii.surrogate(b"k2", kind, name)
+        if kind not in ("ip",):
+            assert re.sub("[a-zA-Z]", "a", re.sub(r"\d", "0", other)) == re.sub("[a-zA-Z]", "a", re.sub(r"\d", "0", name)) or kind == "secret" and len(other) == len(name)
+    assert pii.luhn("4539578763621486") == 0 == pii.luhn(pii.surrogate(b"k", "card", "4539578763621486"))
+    assert all(1 <= int(p) <= 254 for p in pii.surrogate(b"k", "ip", "10.0.255.3").split("."))
+    assert pii.surrogate(b"k", "phone", "10175557713").startswith("1")
+    for (script, gender), names in pii.NAMES.items():
+        other = pii.surrogate(b"k", f"first-{script}-{gender}", names[0].casefold())
+        assert other in {n.casefold() for n in names} and pii.script(other) == script
+    assert pii.script(pii.surrogate(b"k", "last-cyrillic", "петрова")) == "cyrillic"
+    assert pii.dress("first-latin-f", "MARY", "anna") == "ANNA" and pii.dress("phone", "+1 (017) 555-7713", "12345678901") == "+1 (234) 567-8901"
+
+
+def told(spark, rows, **knobs):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.doc_id: r for r in pii.pseudonymise(docs, **knobs).collect()}
+
+
+def test_coreference_across_documents_and_formats(spark):
+    got = told(spark, [(1, "Call +1 (017) 555-7713, Mary Smith, or MARY."), (2, "1-017-555-7713? no: +1 017 555 7713"), (3, "Mrs. Smith; x@Y.org and X@y.org")])
+    first = got[1].text
+    name, last = re.search(r", (\w+) (\w+), or (\w+)\.", first).group(1, 2)
+    assert name.upper() in first and name != "Mary" and last != "Smith"
+    assert got[3].text.startswith(f"Mrs. {last};")
+    digits = re.sub(r"\D", "", re.match(r"Call ([^,]*),", first).group(1))
+    assert digits in re.sub(r"\D", "", got[2].text)
+    a, b = re.findall(r"\S+@\S+", got[3].text)
+    assert a.lower() == b.lower() != "x@y.org" and got[3].kinds == ["last", "email", "email"]
+
+
+def test_distinct_entities_stay_distinct_and_none_is_another(spark):
+    rows = [(i, f"{n} {s}") for i, (n, s) in enumerate((n, s) for n in pii.NAMES["latin", "f"] for s in ("Ng", "Ba"))]
+    for limit in (200_000, -1):
+        got = told(spark, rows, broadcast_rows=limit)
+        new = {}
+        for i, t in rows:
+            for old, other in zip(t.split(), got[i].text.split(), strict=True):
+                assert new.setdefault(old, other) == other
+        assert len(set(new.values())) == len(new)
+        assert not set(new.values()) & set(new)
+
+
+def test_attempts_end_and_settle_every_collision(spark):
+    names = [("first-greek-m", n.casefold()) for n in pii.NAMES["greek", "m"]]
+    again = pii.attempts(spark.createDataFrame(names, "kind string, name string"), b"k", Scratch(spark)).collect()
+    tries = {(r.kind, r.name): r.attempt for r in again}
+    out = [pii.surrogate(b"k", k, n, tries.get((k, n), 0)) for k, n in names]
+    assert len(set(out)) == len(out) and not set(out) & {n for _, n in names}
+
+
+def test_nothing_found_survives_and_edges(spark, make_docs, edges):
+    rows = [*edges, (50, "ip 1.2.3.4 " * 20_000), (51, "und.34@mail7.example.com 9807915762804490")]
+    got = pii.pseudonymise(make_docs(rows)).collect()
+    assert len(got) == len(rows)
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[1].text is None and by_id[1].kinds is None and by_id[2].text == "" and by_id[2].kinds == []
+    assert by_id[7].text == rows[6][1] and len(by_id[50].kinds) == 20_000 and "1.2.3.4 " not in by_id[50].text
+    assert by_id[51].kinds == ["email", "card"] and not {"und.34@mail7.example.com", "9807915762804490"} & set(by_id[51].text.split())
+    assert pii.pseudonymise(make_docs([])).count() == 0
