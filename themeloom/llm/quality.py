@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from themeloom.llm.common import BLOCK, chunks, mix, ready, runs, spans_hash, utf8
 
 SAMPLE, DIMS, FEATURES, NEIGHBOURS, SIZE = 4000, 64, 4096, 15, 1 << 18
+#: A document stays if its neighbours' share of good is at least GOOD and that of toxic, the rarer label, below TOXIC.
+GOOD, TOXIC = 0.5, 0.35
 _KIND = np.full(256, 2, np.uint8)
 _KIND[[*range(33)]] = 0
 _KIND[[*range(48, 58), *range(97, 123), *range(65, 91), *range(128, 256)]] = 1
@@ -148,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id", neighbours: int = NEIGHBOURS) -> DataFrame:
-    """doc_id, good, toxic (neighbours' weighted shares), kept (good at least 1/2 and toxic less); one row a row of docs.
+    """doc_id, good, toxic (neighbours' weighted shares), kept (good at least GOOD and toxic below TOXIC); one row a row of docs.
 
     A text without any feature that tells the classes apart, null and empty ones included, is like no labelled document: it
     gets the shares 1 and 0 and stays. Whole texts count. Equal cosines at the border take any neighbour.
@@ -160,7 +162,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good, toxic = judged(shared.value, batch.column(1), neighbours)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(good), pa.array(toxic), pa.array((good >= 0.5) & (toxic < 0.5))], ["doc_id", "good", "toxic", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(good), pa.array(toxic), pa.array((good >= GOOD) & (toxic < TOXIC))], ["doc_id", "good", "toxic", "kept"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(work, "doc_id long, good double, toxic double, kept boolean")
 
@@ -180,6 +182,6 @@ def drop_rejected(docs: DataFrame, model: Model, text: str = "text", neighbours:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good, toxic = judged(shared.value, batch.column(place), neighbours)
-            yield batch.filter(pa.array((good >= 0.5) & (toxic < 0.5)))
+            yield batch.filter(pa.array((good >= GOOD) & (toxic < TOXIC)))
 
     return docs.mapInArrow(work, docs.schema)
