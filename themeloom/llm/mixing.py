@@ -76,7 +76,7 @@ def mixed(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", weigh
     names = sorted(want)
     n_blocks = np.array([-(-want[s] // block) for s in names], np.int64)
     ends = split(n_blocks, shards, seed).cumsum(0) if names else np.zeros((shards, 0), np.int64)
-    bits = min(40, max(0, int(np.ceil(np.log2(max(1, max(counts.values(), default=1) / bucket)))))
+    bits = min(40, max(0, int(np.ceil(np.log2(max(1, max(counts.values(), default=1) / bucket))))))
 
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), tag(F.col(source)).alias("s"), F.col(doc_id).alias("id"))
     hashed = rows.withColumn("key", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "s", *([F.col("row.text")] if "text" in docs.columns else [])), 1))
