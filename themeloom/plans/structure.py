@@ -33,32 +33,35 @@ _TREE = dict(
     subs="SELECT topic_id, CAST(doc_id % 3 AS INTEGER) AS sub_id, count(*) AS n FROM lab GROUP BY ALL",
     tree="SELECT '' AS path, 0 AS level, (SELECT count(*) FROM lab) AS n, NULL AS topic_id UNION ALL SELECT CAST(topic_id AS VARCHAR), 1, n, topic_id FROM sizes UNION ALL SELECT topic_id || '.' || sub_id, 2, n, sub_id FROM subs",
 )
-_DOTTED = F.array_join(F.transform("path", lambda x: x.cast("string")), ".")
+
+
+def _dotted():
+    return F.array_join(F.transform("path", lambda x: x.cast("string")), ".")
 
 
 @query(with_("SELECT path, level, n FROM tree WHERE level <= 1", **_TREE))
 def create_root(spark, sf):
-    return hierarchy.create_root(_labels(spark, sf)).select(_DOTTED.alias("path"), "level", "n")
+    return hierarchy.create_root(_labels(spark, sf)).select(_dotted().alias("path"), "level", "n")
 
 
 @query(with_("SELECT path, level, n FROM tree", **_TREE))
 def divide_topics(spark, sf):
-    return _tree(spark, sf).select(_DOTTED.alias("path"), "level", "n")
+    return _tree(spark, sf).select(_dotted().alias("path"), "level", "n")
 
 
 @query(with_("SELECT path, level, n FROM tree WHERE level <= 1", **_TREE))
 def cut_tree(spark, sf):
-    return hierarchy.cut(_tree(spark, sf), 1).select(_DOTTED.alias("path"), "level", "n")
+    return hierarchy.cut(_tree(spark, sf), 1).select(_dotted().alias("path"), "level", "n")
 
 
 @query(with_("SELECT path, n FROM tree WHERE level = 2", **_TREE))
 def collect_leaves(spark, sf):
-    return hierarchy.leaves(_tree(spark, sf)).select(_DOTTED.alias("path"), "n")
+    return hierarchy.leaves(_tree(spark, sf)).select(_dotted().alias("path"), "n")
 
 
 @query(with_("SELECT path, CAST(row_number() OVER (ORDER BY path) - 1 AS INTEGER) AS topic_id FROM tree WHERE level = 2", **_TREE))
 def flatten_tree(spark, sf):
-    return hierarchy.flatten(_tree(spark, sf)).select(_DOTTED.alias("path"), "topic_id")
+    return hierarchy.flatten(_tree(spark, sf)).select(_dotted().alias("path"), "topic_id")
 
 
 @query(with_("SELECT repeat('  ', level) || CASE WHEN level = 0 THEN 'Root' ELSE path END || ' (' || n || ')' AS line FROM tree", **_TREE))
