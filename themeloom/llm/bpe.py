@@ -17,7 +17,7 @@ from themeloom.llm.common import BLOCK, MIX, chunks, gather, mix, ready, spans_h
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MEMO = 400_000
+MEMO = 150_000
 
 
 class PerfectHash:

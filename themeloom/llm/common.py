@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -28,10 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ready(spark: SparkSession) -> None:
-    """Lets Python workers import this package when it isn't installed where they run."""
+    """Lets Python workers import this package when it isn't installed where they run, and bounds their batches.
+
+    Texts are long and rows many, so batches go by bytes, unless the session's settings say otherwise.
+    """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    if spark.sparkContext.getConf().get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, str(8 << 20))
 
 
 class Scratch:
