@@ -105,3 +105,37 @@ def test_edges(spark, make_docs, edges):
     assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 5, 6, 7, 9, 10, 11, 11, 12] or sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 5, 6, 7, 9, 10, 11, 12]
     assert ids.count(None) == 3
     assert minhash.near_duplicates(make_docs([])).count() == 0 == minhash.drop_near(make_docs([])).count()
+
+
+@pytest.mark.parametrize(("words", "replaced"), [(120, 8), (300, 18)])
+def test_a_star_whose_centre_is_not_the_least_id_stays_whole(spark, make_docs, words, replaced):
+    """Copies like their original but not one another: groups are those of all pairs that share a band."""
+    import pyarrow as pa
+
+    rng = random.Random(words)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base = [word() for _ in range(words)]
+    texts = [" ".join(base)]
+    for _ in range(59):
+        copy = list(base)
+        for at in rng.sample(range(words), replaced):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    texts = texts[1:31] + texts[:1] + texts[31:]
+    a, b = minhash.coefficients(minhash.HASHES)
+    sigs = minhash.signatures(*utf8(pa.array(texts)), a, b, minhash.SHINGLE)
+    bands = sigs.reshape(len(texts), minhash.BANDS, -1)
+    pairs = [(i, j) for i in range(60) for j in range(i + 1, 60) if (bands[i] == bands[j]).all(1).any() and (sigs[i] == sigs[j]).sum() >= minhash.SIMILAR * minhash.HASHES]
+    group = {r.doc_id: r.group_id for r in minhash.near_duplicates(make_docs(list(enumerate(texts)))).collect()}
+    assert group == roots(pairs, range(60))
+    assert len(pairs) < 60 * 59 // 4
+
+
+def test_forest_spans_what_all_pairs_do():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 9, 60):
+        sigs = rng.integers(0, 3, (n, 16), dtype=np.uint32)
+        a, b = minhash.forest(sigs, 9)
+        pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if (sigs[i] == sigs[j]).sum() >= 9]
+        assert {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} <= set(pairs)
+        assert roots(zip(a.tolist(), b.tolist(), strict=True), range(n)) == roots(pairs, range(n))

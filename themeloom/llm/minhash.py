@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.llm.common import Scratch, binary, chunks, mix, runs, small, spans_hash, utf8
@@ -71,19 +72,6 @@ def signed(docs: DataFrame, text: str, doc_id: str, hashes: int, k: int) -> Data
     return src.select(F.col(doc_id).cast("long").alias("doc_id"), F.lower(text).alias("text")).mapInArrow(work, "doc_id long, sig binary")
 
 
-def alike(pairs: DataFrame, sigs: DataFrame, hashes: int, similar: float) -> DataFrame:
-    """Pairs (a, b) whose signatures agree on that share of the hash functions."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(utf8(batch.column(i))[0].tobytes(), np.uint32).reshape(-1, hashes) for i in (2, 3))
-            keep = pa.array((x == y).sum(1) >= similar * hashes)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    both = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
-
-
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root (the least node of its component), for the nodes of edges (a, b); alternating large-star and small-star.
 
@@ -106,30 +94,72 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def forest(sigs: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the components of the graph of all pairs of rows that agree in `least` places or more.
+
+    Each row reached is compared with all rows not reached yet, so rows that are all alike cost one comparison each.
+    """
+    left, todo, a, b = np.arange(1, len(sigs)), [0], [], []
+    while len(left):
+        if not todo:
+            todo, left = [int(left[0])], left[1:]
+        at = todo.pop()
+        hit = np.concatenate([(sigs[left[i : i + 4096]] == sigs[at]).sum(1) >= least for i in range(0, len(left), 4096)] or [np.zeros(0, bool)])
+        new = left[hit]
+        a.append(np.full(len(new), at))
+        b.append(new)
+        todo += new.tolist()
+        left = left[~hit]
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def near_edges(reps: DataFrame, scratch: Scratch, hashes: int, bands: int, similar: float, rounds: int = 2) -> DataFrame:
-    """Verified edges (a, b) between documents that share a band.
+    """Verified edges (a, b) that join the documents that all verified pairs of documents sharing a band would join.
 
-    In each bucket every member is compared with the least one; those that aren't alike form a bucket of their own again,
-    for a few rounds, after which all pairs of what is left are compared. So buckets of thousands of near copies cost
-    one comparison a member, and nothing is dropped.
+    One task has a bucket's signatures and makes a spanning forest of its pairs that are alike; buckets of the same members count once.
+    So buckets of thousands of near copies cost about one comparison a member, and no member is lost as a partner
+    of those unlike the bucket's least. rounds has no effect any more.
     """
     width = hashes * 4 // bands
     rows = reps.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.substring(F.col("sig"), i * width + 1, F.lit(width))))).alias("band", "h"))
-    w = Window.partitionBy("band", "h")
-    found = []
-    for _ in range(rounds):
-        hubs = rows.withColumn("hub", F.min("doc_id").over(w)).where("doc_id <> hub")
-        hubs = scratch.write(hubs)
-        edges = scratch.write(alike(hubs.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), reps, hashes, similar))
-        found.append(edges)
-        rows = hubs.join(edges.select(F.col("a").alias("hub"), F.col("b").alias("doc_id")), ["hub", "doc_id"], "left_anti").select("doc_id", "band", "h")
-    rows = scratch.write(rows)
-    pairs = rows.select("band", "h", F.col("doc_id").alias("a")).join(rows.select("band", "h", F.col("doc_id").alias("b")), ["band", "h"]).where("a < b").select("a", "b").distinct()
-    found.append(scratch.write(alike(pairs, reps, hashes, similar)))
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out
+    sets = rows.groupBy("band", "h").agg(F.sort_array(F.collect_list("doc_id")).alias("ids")).where("size(ids) > 1").select("ids").groupBy(F.sha2(F.col("ids").cast("string"), 256).alias("bucket")).agg(F.first("ids").alias("ids"))
+    sets = scratch.write(sets)
+    members = sets.select("bucket", F.explode("ids").alias("doc_id")).join(reps, "doc_id").select("bucket", "doc_id", "sig").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            key = batch.column(0)
+            # A bucket is done when another begins; the last of a batch may go on in the next.
+            if held and key[0].equals(held[0].column(0)[0]) and key[len(key) - 1].equals(key[0]):
+                held.append(batch)
+                continue
+            new = np.flatnonzero(np.array(pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)))) + 1
+            cut = int(new[-1]) if len(new) else 0
+            yield from joined([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        yield from joined(held)
+
+    def joined(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [x for x in parts if x.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts).combine_chunks()
+        key, ids = table.column(0).chunk(0), table.column(1).to_numpy()
+        sigs = np.frombuffer(utf8(table.column(2))[0].tobytes(), np.uint32).reshape(-1, hashes)
+        ends = np.concatenate([[0], np.flatnonzero(np.array(pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)))) + 1, [len(key)]])
+        size = np.diff(ends)
+        two = ends[:-1][size == 2]
+        two = two[(sigs[two] == sigs[two + 1]).sum(1) >= similar * hashes]
+        a, b = [ids[two]], [ids[two + 1]]
+        for i, n in zip(ends[:-1][size > 2], size[size > 2], strict=True):
+            x, y = forest(sigs[i : i + n], similar * hashes)
+            a.append(ids[i + x])
+            b.append(ids[i + y])
+        a, b = np.concatenate(a), np.concatenate(b)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return scratch.write(members.mapInArrow(work, "a long, b long").distinct())
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hashes: int = HASHES, bands: int = BANDS, shingle: int = SHINGLE, similar: float = SIMILAR) -> tuple[DataFrame, Scratch]:
