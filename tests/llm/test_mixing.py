@@ -73,3 +73,25 @@ def test_edges(spark, make_docs, edges):
     out = mixing.mix_sources(docs, shards=3)
     assert out.schema == docs.schema and out.count() == mixing.mix_plan(docs, shards=3).count() <= len(rows)
     assert mixing.mix_plan(make_docs([])).count() == 0 == mixing.mix_sources(make_docs([])).count()
+
+
+def test_a_tiny_source_does_not_shrink_the_rest(spark, make_docs):
+    counts = {f"s{i}": 500 for i in range(20)}
+    whole = mixing.quotas(counts, None, 0.5)
+    assert whole == counts
+    assert mixing.quotas(counts | {"n": 1}, None, 0.5) == counts | {"n": 1}
+    assert mixing.quotas(counts | {f"t{i}": 1 for i in range(900)}, None, 0.5) == counts | {f"t{i}": 1 for i in range(900)}
+    docs = make_docs([(i, f"text {i}") for i in range(600)] + [(None, "stray")])
+    assert Counter(r.source for r in mixing.mix_plan(docs).collect()) == {"src0": 200, "src1": 200, "src2": 200, "src": 1}
+
+
+def test_a_large_source_is_still_tempered():
+    got = mixing.quotas({"big": 90_000, **{f"s{i}": 1000 for i in range(10)}}, None, 0.5)
+    assert got == {"big": 9486, **{f"s{i}": 1000 for i in range(10)}}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcde"), st.integers(0, 500), min_size=1), st.integers(0, 3000))
+def test_a_total_is_met_exactly(counts, total):
+    got = mixing.quotas(counts, None, 0.5, total)
+    assert sum(got.values()) == min(total, sum(counts.values())) and all(0 <= got[s] <= counts[s] for s in got)

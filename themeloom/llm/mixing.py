@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 
 import numpy as np
@@ -11,21 +12,29 @@ from pyspark.sql import functions as F
 
 from themeloom.llm.common import ready, small
 
+log = logging.getLogger(__name__)
 SHARDS, BLOCK, TEMPERATURE, SEED = 32, 32, 0.5, 20240
 BUCKET = 20_000
+#: Sources that together hold less than this share of all documents are drawn whole and don't bound the others.
+RARE = 0.1
 
 
-def quotas(counts: Mapping[str, int], weights: Mapping[str, float] | None, temperature: float) -> dict[str, int]:
-    """Documents to draw of each source: as many in all as the weights allow without drawing one twice.
+def quotas(counts: Mapping[str, int], weights: Mapping[str, float] | None, temperature: float, total: int | None = None) -> dict[str, int]:
+    """Documents to draw of each source, none twice.
 
-    Without weights a source weighs count ** temperature. Sources absent from counts or of weight 0 draw nothing. The
-    shares are rounded by largest remainders, ties by name.
+    With weights: as many in all as their exact proportions allow. Sources absent from counts or of weight 0 draw nothing.
+    Without: a source weighs count ** temperature, and a small one can't shrink the others: each draws rate * weight, or all it has
+    if that is less. The rate is such that total documents (or all, if fewer) are drawn, or, without a total, the least at which
+    the sources drawn whole hold RARE of all documents or more. The shares are rounded by largest remainders, ties by name.
     """
     w = {s: float(n) ** temperature if weights is None else float(weights.get(s, 0)) for s, n in counts.items() if n}
     w = {s: x for s, x in w.items() if x > 0}
     if not w:
         return {}
-    most = min(counts[s] / x for s, x in w.items())
+    if weights is not None:
+        most = min(counts[s] / x for s, x in w.items())
+    else:
+        most = _rate({s: counts[s] for s in w}, w, total)
     exact = {s: min(float(counts[s]), most * x) for s, x in w.items()}
     out = {s: int(x + 1e-9) for s, x in exact.items()}
     spare = int(sum(exact.values()) + 1e-9) - sum(out.values())
@@ -34,6 +43,22 @@ def quotas(counts: Mapping[str, int], weights: Mapping[str, float] | None, tempe
     return out
 
 
+def _rate(counts: Mapping[str, int], w: Mapping[str, float], total: int | None) -> float:
+    """Documents a unit of weight, for sources that draw at most what they have."""
+    order = sorted(counts, key=lambda s: (counts[s] / w[s], s))
+    left, weight, whole = sum(counts.values()), sum(w.values()), 0
+    if total is None:
+        for s in order:
+            whole += counts[s]
+            if whole >= RARE * left:
+                return counts[s] / w[s]
+    for s in order:
+        if whole + weight * counts[s] / w[s] >= total:
+            return (total - whole) / weight
+        whole, weight = whole + counts[s], weight - w[s]
+    return counts[order[-1]] / w[order[-1]]
+
+
 def split(blocks: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """Blocks of each source by shard, shape (shards, sources).
 
@@ -57,7 +82,7 @@ def split(blocks: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mixed(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
+def mixed(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED, bucket: int = BUCKET, total: int | None = None) -> DataFrame:
     """`row` (struct of docs' columns), shard, order: the rows drawn, by output shard; sort a shard by order.
 
     Rows of a source are ranked by a keyed hash: ranks are exact although no task sorts a whole source, since the hash's top
@@ -72,7 +97,8 @@ def mixed(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", weigh
     ready(spark)
     tag = lambda c: F.when(c.isNull(), "n").otherwise(F.concat(F.lit("s"), c.cast("string")))
     counts = {r[0]: r[1] for r in docs.groupBy(tag(F.col(source)).alias("s")).count().collect()}
-    want = quotas(counts, None if weights is None else {"n" if k is None else f"s{k}": v for k, v in weights.items()}, temperature)
+    want = quotas(counts, None if weights is None else {"n" if k is None else f"s{k}": v for k, v in weights.items()}, temperature, total)
+    log.info("rows drawn by source, of rows there: %s", {s[1:] if s != "n" else None: (want.get(s, 0), n) for s, n in sorted(counts.items())})
     names = sorted(want)
     n_blocks = np.array([-(-want[s] // block) for s in names], np.int64)
     ends = split(n_blocks, shards, seed).cumsum(0) if names else np.zeros((shards, 0), np.int64)
