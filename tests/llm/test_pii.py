@@ -75,3 +75,21 @@ def test_nothing_found_survives_and_edges(spark, make_docs, edges):
     assert by_id[7].text == rows[6][1] and len(by_id[50].kinds) == 20_000 and "1.2.3.4 " not in by_id[50].text
     assert by_id[51].kinds == ["email", "card"] and not {"und.34@mail7.example.com", "9807915762804490"} & set(by_id[51].text.split())
     assert pii.pseudonymise(make_docs([])).count() == 0
+
+
+def test_candidates_are_a_superset_of_mentions(spark):
+    import pyarrow as pa
+
+    names = ["Mary", "MARY", "Анна", "ΜΑΡΊΑ", "Νίκος", "Señor Ruiz", "Doña Ruiz", "Mr. Ruiz", "Frau Weiß"]
+    forms = ["{}", "“{}”", "‘{}’", "{}’s", "{}…", "{} x", " {}", "—{}—", "«{}»", "。{}。", "x {}́", "{}​", "{}é", "é{}", "{}_"]
+    digits = ["٣٤٥-٣٤-٣٤٥٦", "１２３-４５-６７８９", "१२३-४५-६७८९", "\U0001d7d8" * 13, "Preis: keiner", "naïve café", ""]
+    texts = [f.format(n) for f in forms for n in names] + digits
+    some = pii.candidates(pa.array(texts)).tolist()
+    assert not [t for t, c in zip(texts, some, strict=True) if pii.mentions(t) and not c]
+    assert some[-3:] == [False] * 3 and sum(bool(pii.mentions(t)) for t in texts) > 100
+    for c in map(chr, range(128, 0x110000)):
+        if re.match(r"\d", c):
+            assert pii.candidates(pa.array([f"x{c}"]))[0], hex(ord(c))
+    got = told(spark, [(1, "“Mary” left"), (2, "Mary left")])
+    name = got[2].text.split()[0]
+    assert name != "Mary" and got[1].text == f"“{name}” left" and got[1].kinds == ["first"]
