@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,3 +187,27 @@ def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     first = np.zeros(len(starts), np.int64)
     np.cumsum(lengths[:-1], out=first[1:])
     return data[np.arange(int(lengths.sum()), dtype=np.int64) + np.repeat(starts - first, lengths)]
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows in order of their first column, put together anew so that no value of it is in two of them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0)
+        n = len(key)
+        if held and key[n - 1].equals(held[0].column(0)[0]):
+            held.append(batch)  # the group goes on
+            continue
+        new = np.flatnonzero(np.array(pc.not_equal(key.slice(1), key.slice(0, n - 1)))) + 1
+        cut = int(new[-1]) if len(new) else 0
+        if held or cut:
+            yield merged([*held, batch.slice(0, cut)])
+        held = [batch.slice(cut)]
+    if held:
+        yield merged(held)
+
+
+def merged(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.concat_batches([b for b in batches if b.num_rows])
