@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from themeloom.llm import bpe
+from themeloom.llm.common import distinct
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +61,34 @@ def test_edges_and_round_trip(spark, make_docs, edges, peer):
     back = bpe.decode_documents(bpe.encode_documents(make_docs(edges))).collect()
     assert sorted(((r.doc_id, r.text) for r in back), key=str) == sorted(edges, key=str)
     assert bpe.encode_documents(make_docs([])).count() == 0
+
+
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+def test_strings_that_polynomial_hashes_confuse_keep_their_own_tokens(spark, make_docs):
+    """A Thue-Morse word and its complement collide under every polynomial hash modulo 2 ** 64; and distinct() compares bytes, whatever the hash says."""
+    word = thue_morse(2048)
+    twin = word.translate(str.maketrans("ab", "ba"))
+    rows = bpe.encode_documents(make_docs([(1, word), (2, twin), (3, word)]).coalesce(1)).collect()
+    assert all(r.round_trip for r in rows)
+    tokens = {r.doc_id: r.token_ids for r in rows}
+    assert tokens[1] == tokens[3] != tokens[2]
+    data = np.frombuffer(b"abcxyzabclongerthaneight!longerthaneight?", np.uint8)
+    starts, ends = np.array([0, 3, 6, 9, 25]), np.array([3, 6, 9, 25, 41])
+    first, back = distinct(data, starts, ends - starts, np.zeros(5, np.uint64))
+    spans = [data[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]
+    assert [spans[first[k]] for k in back] == spans and len(first) == 4
+
+
+def test_decode_by_itself(spark, make_docs, edges):
+    docs = make_docs(edges)
+    tokens = bpe.encode_documents(docs)
+    back = sorted(map(tuple, bpe.decode_documents(tokens).collect()), key=str)
+    assert back == sorted(((i, t) for i, t in edges), key=str)
+    with pytest.raises(Exception, match="no id of the vocabulary"):
+        bpe.decode_documents(spark.createDataFrame([(1, [5, 10**7])], "doc_id long, token_ids array<int>")).collect()

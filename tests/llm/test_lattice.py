@@ -20,7 +20,7 @@ def small(words, seed=0):
     by_slot, score = np.zeros(len(words), np.uint64), np.zeros(len(words))
     at = table.slots(keys)
     by_slot[at], score[at] = keys, log[: len(words)]
-    return lattice.Pieces(table, by_slot, score, np.unique([len(w) for w in words]), log[len(words) :]), dict(zip(words, log, strict=False)), at
+    return lattice.Pieces(table, by_slot, score, np.unique([len(w) for w in words]), log[len(words) :], *lattice.Pieces.spelled(words, at)), dict(zip(words, log, strict=False)), at
 
 
 def segmentations(word, known, single):
@@ -104,3 +104,22 @@ def test_edges(spark, make_docs, edges):
     assert all(math.isfinite(r.log_prob) for r in rows if r.log_prob is not None)
     empty = make_docs([])
     assert lattice.score(empty, lattice.fit(empty)).count() == 0
+
+
+def test_pieces_and_words_are_told_apart_by_their_bytes():
+    """A Thue-Morse word and its complement, which collide under the pieces' polynomial hash: only the true piece matches, and words keep their own scores."""
+    word = b"a"
+    while len(word) < 2048:
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    twin = word.translate(bytes.maketrans(b"ab", b"ba"))
+    assert lattice.Pieces.key(word) == lattice.Pieces.key(twin)
+    words = [b"a", b"b", b" ", b" " + word]
+    keys = np.array([lattice.Pieces.key(w) for w in words], np.uint64)
+    table = lattice.PerfectHash(keys)
+    at, log = table.slots(keys), np.log(np.full(len(words) + 256, 1 / (len(words) + 256)))
+    by_slot, score = np.zeros(len(words), np.uint64), np.zeros(len(words))
+    by_slot[at], score[at] = keys, log[: len(words)]
+    pieces = lattice.Pieces(table, by_slot, score, np.unique([len(w) for w in words]), log[len(words) :], *lattice.Pieces.spelled(words, at))
+    data = np.frombuffer(word + twin, np.uint8)
+    got, _ = pieces.marginals(data, np.array([0, 2048]), np.array([2048, 2048]))
+    assert got[0] > -10 > got[1] and got[1] == pytest.approx(2049 * log[0])

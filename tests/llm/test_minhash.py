@@ -131,11 +131,36 @@ def test_a_star_whose_centre_is_not_the_least_id_stays_whole(spark, make_docs, w
     assert len(pairs) < 60 * 59 // 4
 
 
-def test_forest_spans_what_all_pairs_do():
+def test_joins_span_what_all_pairs_do():
     rng = np.random.default_rng(3)
     for n in (1, 2, 9, 60):
-        sigs = rng.integers(0, 3, (n, 16), dtype=np.uint32)
-        a, b = minhash.forest(sigs, 9)
-        pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if (sigs[i] == sigs[j]).sum() >= 9]
-        assert {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} <= set(pairs)
-        assert roots(zip(a.tolist(), b.tolist(), strict=True), range(n)) == roots(pairs, range(n))
+        for cut in (n, n // 2 or n):
+            sigs, label = rng.integers(0, 3, (n, 16), dtype=np.uint32), rng.integers(0, max(1, n // 2), n)
+            a, b = minhash.joins(sigs, label, cut, 9)
+            pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if (cut == n or i < cut <= j) and (sigs[i] == sigs[j]).sum() >= 9]
+            assert {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} <= set(pairs)
+            same = [(i, j) for i in range(n) for j in range(n) if label[i] == label[j]]
+            assert roots([*zip(a.tolist(), b.tolist(), strict=True), *same], range(n)) == roots(pairs + same, range(n))
+
+
+def signed(places, fill):
+    """A signature that has the given value at those places, and a fill elsewhere."""
+    out = np.arange(128, dtype=np.uint32) + np.uint32(fill)
+    out[list(places)] = 7
+    return out
+
+
+@pytest.mark.parametrize("tile", [256, 2])
+def test_a_member_alike_to_the_hub_is_compared_with_the_rest_too(spark, monkeypatch, tile):
+    """hub ~ a, a ~ c, hub and c too far apart; all share a band. And a chain of 9 of which each is like the next alone."""
+    monkeypatch.setattr(minhash, "TILE", tile)
+    hub, a, c = signed(range(98), 1000), signed(range(128), 0), signed([*range(4), *range(33, 128)], 2000)
+    chain = [signed(range(0), 5000 + 0) for _ in range(9)]
+    for k in range(9):
+        chain[k] = np.concatenate([np.full(4, 9, np.uint32), *(np.full(12, 100 + (k + j) // 2 * 50 + j, np.uint32) for j in range(10)), np.full(4, 10_000 + k, np.uint32)])
+    sigs = [hub, a, c, *chain]
+    reps = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sigs)], "doc_id long, sig binary")
+    alike = [(i, j) for i in range(12) for j in range(i + 1, 12) if (sigs[i].reshape(32, 4) == sigs[j].reshape(32, 4)).all(1).any() and (sigs[i] == sigs[j]).sum() >= 0.6 * 128]
+    assert (0, 1) in alike and (1, 2) in alike and (0, 2) not in alike
+    edges = [tuple(e) for e in minhash.near_edges(reps, Scratch(spark), 128, 32, 0.6).collect()]
+    assert set(edges) <= set(alike) and roots(edges, range(12)) == roots(alike, range(12))

@@ -95,3 +95,69 @@ def test_a_large_source_is_still_tempered():
 def test_a_total_is_met_exactly(counts, total):
     got = mixing.quotas(counts, None, 0.5, total)
     assert sum(got.values()) == min(total, sum(counts.values())) and all(0 <= got[s] <= counts[s] for s in got)
+
+
+def test_plan_and_mix_draw_the_same_rows(spark, make_docs, edges):
+    """Whatever other columns there are; null and repeated ids among them."""
+    rows = [*edges, *[(i, f"text {i}") for i in range(100, 700)], (300, "twin of another text")]
+    docs = make_docs(rows)
+    plan = mixing.mix_plan(docs, weights={"src0": 3, "src1": 1, "src": 1}, shards=3)
+    out = mixing.mix_sources(docs, weights={"src0": 3, "src1": 1, "src": 1}, shards=3)
+    shards = out.select("doc_id", "source", F.spark_partition_id().alias("shard"))
+    assert rows_of(plan.select("doc_id", "source", "shard")) == rows_of(shards)
+    bare = docs.where("doc_id is not null").select("doc_id", "source")
+    assert rows_of(mixing.mix_plan(bare)) == rows_of(mixing.mix_plan(docs.where("doc_id is not null").withColumn("more", F.rand(1))))
+
+
+def brute_plan(hashes, counts, weights, shards, block, seed):
+    """The plan by hand: rank each source's hashes, cut blocks, deal them by the tree, shuffle each shard."""
+    want = mixing.quotas(counts, weights, 0.5)
+    names = sorted(want)
+    dealt = np.zeros((shards, len(names)), int)
+
+    def node(lo, hi, here):
+        if hi - lo == 1:
+            dealt[lo] = here
+            return
+        mid = (lo + hi) // 2
+        left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(here, int(here.sum()) * (mid - lo) // (hi - lo), method="marginals")
+        node(lo, mid, left)
+        node(mid, hi, here - left)
+
+    node(0, shards, np.array([-(-want[s] // block) for s in names]))
+    out = []
+    for j, s in enumerate(names):
+        owner = [k for k in range(shards) for _ in range(dealt[k, j])]
+        for rank, (_, doc) in enumerate(sorted(hashes[s])[: want[s]]):
+            out.append((doc, s[1:], owner[rank // block], rank))
+    return out
+
+
+def test_plan_against_one_made_by_hand(spark, make_docs):
+    docs = make_docs([(i, f"text {i}") for i in range(1, 900)])
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(5), "doc_id", F.concat(F.lit("s"), "source")), 1)
+    told = docs.select("doc_id", "source", key.alias("key")).collect()
+    hashes, counts = {}, Counter(f"s{r.source}" for r in told)
+    for r in told:
+        hashes.setdefault(f"s{r.source}", []).append((r.key, r.doc_id))
+    weights = {"src0": 2, "src1": 1, "src2": 1}
+    want = brute_plan(hashes, counts, {f"s{s}": w for s, w in weights.items()}, 5, 8, 5)
+    got = mixing.mix_plan(docs, weights=weights, shards=5, block=8, seed=5, bucket=50).collect()
+    assert sorted((r.doc_id, r.source, r.shard) for r in got) == sorted(x[:3] for x in want)
+    keys = {r.doc_id: r.key for r in told}
+    order = spark.createDataFrame([(d, s, k, keys[d], n) for d, s, k, n in want], "doc_id long, source string, shard int, key long, rank long").withColumn("o", F.xxhash64(F.lit(6), "key", "rank"))
+    place = {}
+    for k in range(5):
+        for i, r in enumerate(order.where(F.col("shard") == k).orderBy("o", "doc_id").collect()):
+            place[r.doc_id] = i
+    assert {r.doc_id: r.position for r in got} == place
+
+
+def test_shards_and_blocks_grow_with_the_rows(spark, make_docs, monkeypatch):
+    docs = make_docs([(i, "t") for i in range(600)])
+    monkeypatch.setattr(mixing, "SHARDS", 2)
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 50)
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 40)
+    plan = mixing.mix_plan(docs, block=1).collect()
+    assert len({r.shard for r in plan}) == 12 and len(plan) == 600
+    assert max(Counter(r.shard for r in plan).values()) <= 5 * 15

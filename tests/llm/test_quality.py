@@ -52,3 +52,23 @@ def test_edges(spark, make_docs, edges):
         assert kept.schema == docs.schema and kept.count() == sum(r.kept for r in rows)
         assert quality.score(make_docs([]), model).count() == 0
     assert quality.score(docs, quality.fit(make_docs([]), some)).where(~F.col("kept")).count() == 0
+
+
+def test_ties_at_the_border_all_vote_in_any_order():
+    rng = np.random.default_rng(0)
+    near, far = rng.standard_normal((2, 64)).astype(np.float32)
+    vectors = np.stack([near] * 6 + [far] * 3)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    good = np.array([1, 0, 0, 1, 1, 1, 0, 0, 0], float)
+    shares = []
+    for order in (np.arange(9), np.arange(9)[::-1]):
+        model = quality.Model(np.zeros(0), np.zeros((0, 64)), vectors[order], good[order], 1 - good[order], (1.0, 0.0))
+        shares.append(model.vote(vectors[:1], 3))
+    assert shares[0][0] == pytest.approx(shares[1][0]) == pytest.approx(4 / 6) and shares[0][1] == pytest.approx(2 / 6)
+
+
+def test_repeated_rows_do_not_enlarge_the_sample(spark, make_docs):
+    rows = [(i, f"{'fine prose here' if i % 2 else 'junk junk junk'} {i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    once, often = (quality.fit(make_docs(rows * n), labels, sample=40) for n in (1, 4))
+    assert len(once.good) <= 40 and (once.vectors == often.vectors).all() and (once.good == often.good).all()

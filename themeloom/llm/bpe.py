@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import BLOCK, MIX, chunks, gather, mix, ready, spans_hash, utf8, words_at
+from themeloom.llm.common import BLOCK, MIX, alike_spans, chunks, distinct, gather, mix, ready, spans_hash, utf8, words_at
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -89,11 +89,8 @@ class Vocabulary:
         """Ids of spans that are tokens, else -1; the bytes are compared, not their hash alone."""
         slot, lengths = self.hash.slots(keys), ends - starts
         hit = (self.slot_length[slot] == lengths) & (self.slot_head[slot] == words_at(data, starts, lengths))
-        rest = np.flatnonzero(hit & (lengths > 8))
-        if len(rest):
-            n = lengths[rest] - 8
-            same = gather(data, starts[rest] + 8, n) == gather(self.data, self.slot_start[slot[rest]] + 8, n)
-            hit[rest] = np.logical_and.reduceat(same, n.cumsum() - n)
+        if len(rest := np.flatnonzero(hit & (lengths > 8))):
+            hit[rest] = alike_spans(data, starts[rest], self.data, self.slot_start[slot[rest]], lengths[rest])
         return np.where(hit, self.slot_id[slot], -1)
 
     def bytes_of(self, ids: np.ndarray) -> np.ndarray:
@@ -224,7 +221,7 @@ class Encoder:
         miss = np.flatnonzero(ids < 0)
         counts = np.ones(len(ids), np.int64)
         if len(miss):
-            _, first, back = np.unique(keys[miss], return_index=True, return_inverse=True)
+            first, back = distinct(data, starts[miss], ends[miss] - starts[miss], keys[miss])
             found, memo, ranks, raw = [], self.memo, self.ranks, data.tobytes()
             if len(memo) > MEMO:
                 memo.clear()
@@ -286,13 +283,25 @@ def encode_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 
 def decode_documents(tokens: DataFrame, ids: str = "token_ids", doc_id: str = "doc_id", ranks: str = RANKS) -> DataFrame:
-    """doc_id, text from token ids; null ids give null, and bytes that are no text become replacement characters."""
+    """doc_id, text from token ids; null ids give null, and bytes that are no text become replacement characters.
+
+    An id outside the vocabulary, or null within a list, is an error that names it. Repeated rows repeat; an empty table gives no rows; other
+    columns don't matter.
+    """
     ready(tokens.sparkSession)
 
+    def text_of(vocabulary: Vocabulary, ids: list[int]) -> str:
+        at = np.array([-1 if i is None else i for i in ids], np.int64)
+        known = (at >= 0) & (at < len(vocabulary.id_length))
+        known[known] = vocabulary.id_length[at[known]] > 0
+        if not known.all():
+            raise ValueError(f"{ids[int(np.flatnonzero(~known)[0])]} is no id of the vocabulary")
+        return vocabulary.bytes_of(at).tobytes().decode("utf-8", "replace")
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(ranks)
         for batch in batches:
-            texts = [None if x is None else encoder.vocabulary.bytes_of(np.array(x, np.int64)).tobytes().decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            texts = [None if x is None else text_of(encoder.vocabulary, x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return tokens.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(work, "doc_id long, text string")

@@ -118,16 +118,6 @@ def chunks(offsets: np.ndarray, most: int):
 
 
 BLOCK = 1 << 19
-_BASE = 0x5851F42D4C957F2D
-
-
-def _powers(base: int) -> np.ndarray:
-    out = np.full(BLOCK, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POWERS, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 2**64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -150,25 +140,46 @@ def runs(kinds: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, a polynomial in an odd base; spans are in order and apart."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    """A 64-bit hash of each span of bytes: its words of 8 bytes, each mixed with its place, in a sum. Equal hashes prove nothing; see distinct()."""
     lengths = ends - starts
-    if len(data) <= BLOCK:
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.add(data, np.uint64(1), out=total[1:], dtype=np.uint64)
-        total[1:] *= _POWERS[: len(data)]
-        np.cumsum(total, out=total)
-        value = (total[ends] - total[starts]) * _INVERSE[np.minimum(starts, len(data) - 1)]
-    else:
-        first = np.zeros(len(starts), np.int64)
-        np.cumsum(lengths[:-1], out=first[1:])
-        inside = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)
-        values = data[inside + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)
-        values *= _POWERS[inside & (BLOCK - 1)] + (inside >> 19).astype(np.uint64)
-        value = np.add.reduceat(np.append(values, np.uint64(0)), first)
-        value[lengths == 0] = 0
-    return mix(value + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    out = mix(mix(words_at(data, starts, lengths)))
+    if len(long := np.flatnonzero(lengths > 8)):
+        n = (lengths[long] - 1) // 8  # words after the first
+        first = n.cumsum() - n
+        k = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n) + 1
+        words = words_at(data, np.repeat(starts[long], n) + 8 * k, np.repeat(lengths[long], n) - 8 * k)
+        out[long] += np.add.reduceat(mix(mix(words ^ (k.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))), first)
+    return mix(out + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def alike_spans(data: np.ndarray, starts: np.ndarray, other: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which spans of data have the very bytes of those of other."""
+    out = words_at(data, starts, lengths) == words_at(other, at, lengths)
+    if len(rest := np.flatnonzero(out & (lengths > 8))):
+        n = lengths[rest] - 8
+        same = gather(data, starts[rest] + 8, n) == gather(other, at[rest] + 8, n)
+        out[rest] = np.logical_and.reduceat(same, n.cumsum() - n)
+    return out
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One span of each distinct string of bytes, and the place among them of every span. keys: spans_hash; the bytes are compared, so two strings of
+    one hash stay two."""
+    _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+    back = back.reshape(-1)
+    rep = first[back]
+    same = lengths == lengths[rep]
+    at = np.flatnonzero(same & (rep != np.arange(len(rep))))
+    same[at] = alike_spans(data, starts[at], data, starts[rep[at]], lengths[at])
+    more: dict[bytes, int] = {}
+    extra = []
+    for i in np.flatnonzero(~same).tolist():
+        text = data[starts[i] : starts[i] + lengths[i]].tobytes()
+        if text not in more:
+            more[text] = len(first) + len(extra)
+            extra.append(i)
+        back[i] = more[text]
+    return np.concatenate([first, np.array(extra, first.dtype)]), back
 
 
 def words_at(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import chunks, ready, utf8
+from themeloom.llm.common import MIX, chunks, ready, utf8
 
 DOCS, CHARS, SEGMENT = 64, 16_000, 2048
 _CHUNK = 2 << 20
 
 
-def automaton(text: np.ndarray, size: int) -> np.ndarray:
-    """Transitions (states x size, -1: none) of the suffix automaton of text, symbols 1 .. size - 1; state 0 is the root."""
+def automaton(text: np.ndarray) -> list[dict[int, int]]:
+    """Moves of each state of the suffix automaton of text; state 0 is the root."""
     follow, link, length = [{}], [-1], [0]
     last = 0
     for c in text.tolist():
@@ -43,40 +43,70 @@ def automaton(text: np.ndarray, size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    out = np.full((len(follow), size), -1, np.int32)
-    for s, moves in enumerate(follow):
-        if moves:
-            out[s, list(moves)] = list(moves.values())
-    return out
+    return follow
+
+
+class Moves:
+    """Moves of all states in an open hash table: (state, symbol) to state, so that an alphabet of any size costs its moves and no more."""
+
+    def __init__(self, keys: np.ndarray, after: np.ndarray):
+        self.mask = np.uint64((1 << max(4, int(len(keys) * 4).bit_length())) - 1)
+        self.keys, self.after = np.full(int(self.mask) + 1, -1, np.int64), np.full(int(self.mask) + 1, -1, np.int32)
+        left = np.arange(len(keys))
+        at = self._home(keys)
+        while len(left):
+            free = left[self.keys[at[left]] < 0]
+            _, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.keys[at[put]], self.after[at[put]] = keys[put], after[put]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & int(self.mask)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        h = keys.astype(np.uint64) * MIX
+        return ((h ^ (h >> np.uint64(29))) & self.mask).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """State after each, -1: none."""
+        at = self._home(keys)
+        there = self.keys.take(at)
+        out = self.after.take(at)
+        odd = np.flatnonzero((there != keys) & (there >= 0))
+        out[there < 0] = -1
+        while len(odd):
+            at[odd] = (at[odd] + 1) & int(self.mask)
+            there = self.keys[at[odd]]
+            out[odd] = np.where(there == keys[odd], self.after[at[odd]], -1)
+            odd = odd[(there != keys[odd]) & (there >= 0)]
+        return out
 
 
 @dataclass
 class Languages:
     names: list[str]
     symbol: np.ndarray  # character -> symbol, 0: unknown
-    table: np.ndarray  # moves of all automata in a row, premultiplied: place of the next state's row, -1: none
-    root: np.ndarray  # languages x symbols: where a phrase that starts with it goes
+    moves: Moves  # of all automata: state * symbols + symbol
+    root: np.ndarray  # languages x symbols: the state after a phrase's first symbol; 0, where nothing follows, if there is none
     sizes: np.ndarray  # training characters
 
     @classmethod
     def of(cls, samples: dict[str, str]) -> Languages:
         names = sorted(s for s in samples if samples[s])
         codes = {s: np.frombuffer(samples[s].encode("utf-32-le", "replace"), np.uint32) for s in names}
-        seen, n = np.unique(np.concatenate([*codes.values(), np.zeros(0, np.uint32)]), return_counts=True)
-        seen = np.sort(seen[np.argsort(-n, kind="stable")[:254]])
+        seen = np.unique(np.concatenate([*codes.values(), np.zeros(0, np.uint32)]))
         size = len(seen) + 1
-        symbol = np.zeros(0x110000, np.uint8)
+        symbol = np.zeros(0x110000, np.int32)
         symbol[seen] = np.arange(1, size)
-        tables, base = [np.full((1, size), -1, np.int64)], 1  # row 0: after an unknown character nothing follows
+        keys, after, base = [], [], 1  # state 0: after an unknown character nothing follows
         root = np.zeros((len(names), size), np.int64)
         for k, s in enumerate(names):
-            moves = automaton(symbol[codes[s]], size).astype(np.int64)
-            moves[:, 0] = -1
-            tables.append(np.where(moves < 0, -1, (moves + base) * size))
-            root[k] = np.where(tables[-1][0] < 0, 0, tables[-1][0])
-            base += len(moves)
-        table = np.concatenate(tables).reshape(-1)
-        return cls(names, symbol, table.astype(np.int32), root, np.array([len(codes[s]) for s in names]))
+            follow = automaton(symbol[codes[s]])
+            for state, moves in enumerate(follow):
+                keys += [(state + base) * size + c for c in moves]
+                after += [q + base for q in moves.values()]
+            root[k, list(follow[0])] = [q + base for q in follow[0].values()]
+            base += len(follow)
+        return cls(names, symbol, Moves(np.array(keys, np.int64), np.array(after, np.int32)), root, np.array([len(codes[s]) for s in names]))
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by text and language, and characters by text. A parse begins anew after each `segment` characters."""
@@ -96,7 +126,8 @@ class Languages:
         n_lang = len(self.names)
         count = np.ones((len(row), n_lang), np.int32)
         lanes_at = np.searchsorted(-size, -np.arange(1, segment + 1), "right") if len(row) else np.zeros(segment, int)
-        shift = np.arange(n_lang) * self.root.shape[1]
+        n_symbols = self.root.shape[1]
+        shift = np.arange(n_lang) * n_symbols
         root = self.root.reshape(-1)
         state = root[flat[start][:, None].astype(np.int64) + shift] if len(row) else np.zeros((0, n_lang), np.int64)
         for t in range(1, segment):
@@ -104,7 +135,7 @@ class Languages:
             if not lanes:
                 break
             c = flat[start[:lanes] + t].astype(np.int64)[:, None]
-            after = self.table.take(state[:lanes] + c)
+            after = self.moves((state[:lanes] * n_symbols + c).ravel()).reshape(lanes, n_lang)
             stop = after < 0
             count[:lanes] += stop
             state[:lanes] = after
@@ -117,12 +148,12 @@ class Languages:
 def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", per_language: int = DOCS, chars: int = CHARS) -> Languages:
     """From at most per_language labelled documents a language, those of least hashed id, `chars` lower-case characters in all of each.
 
-    Rows without language, id or text don't count.
+    Rows without language, id or text don't count; of an id with several texts the least counts, so repeated rows add nothing.
     """
     ready(docs.sparkSession)
     known = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("k"), F.col(lang).alias("l")).distinct()
     best = known.withColumn("i", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k"))).where(F.col("i") <= per_language)
-    rows = docs.select(F.col(doc_id).alias("k"), F.col(lang).alias("l"), F.substring(F.lower(text), 1, chars).alias("t")).join(F.broadcast(best), ["k", "l"]).select("l", "i", "t").collect()
+    rows = docs.select(F.col(doc_id).alias("k"), F.col(lang).alias("l"), F.substring(F.lower(text), 1, chars).alias("t")).join(F.broadcast(best), ["k", "l"]).groupBy("l", "i").agg(F.min("t").alias("t")).collect()
     samples: dict[str, str] = {}
     for r in sorted(rows):
         samples[r.l] = (samples.get(r.l, "") + " " + r.t)[: chars + 1]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.llm.bpe import PerfectHash
-from themeloom.llm.common import BLOCK, chunks, gather, ragged, ready, runs, spans_hash, utf8
+from themeloom.llm.common import BLOCK, chunks, distinct, gather, ragged, ready, runs, spans_hash, utf8
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 PRIOR = 1000.0
@@ -30,6 +30,8 @@ class Pieces:
     score: np.ndarray  # by slot
     lengths: np.ndarray  # those that pieces have
     single: np.ndarray
+    spelling: np.ndarray  # by slot, rows of bytes, 0 after a piece's end
+    size: np.ndarray  # by slot, bytes
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -48,7 +50,15 @@ class Pieces:
         by_slot, score = np.zeros(len(names), np.uint64), np.zeros(len(names))
         at = table.slots(keys)
         by_slot[at], score[at] = keys, prior[: len(names)]
-        return cls(table, by_slot, score, np.unique([len(w) for w in names]), prior[len(names) :])
+        return cls(table, by_slot, score, np.unique([len(w) for w in names]), prior[len(names) :], *cls.spelled(names, at))
+
+    @staticmethod
+    def spelled(words: list[bytes], slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the words, and how many, by slot."""
+        spelling, size = np.zeros((len(words), max(map(len, words))), np.uint8), np.zeros(len(words), np.int64)
+        for i, w in zip(slots.tolist(), words, strict=True):
+            spelling[i, : len(w)], size[i] = np.frombuffer(w, np.uint8), len(w)
+        return spelling, size
 
     @staticmethod
     def key(word: bytes) -> int:
@@ -77,13 +87,17 @@ class Pieces:
                 if not len(at):
                     continue
                 end = min(size, i + width)
-                _, known = self.find(prefix[end, at] - prefix[i, at] * power[end - i] if end - i < len(power) else np.zeros(len(at), np.uint64))
-                spelt[i:end, at[~known]] = True
+                if end - i < len(power):
+                    slot, known = self.find(prefix[end, at] - prefix[i, at] * power[end - i])
+                    known[known] = self.spells(slot[known], group[i:end, at[known]])
+                    at = at[~known]
+                spelt[i:end, at] = True
         spelt |= ~heads & ~np.maximum.accumulate(heads, 0)  # bytes that no character starts
         for j in range(1, size + 1):
             for width in self.lengths[self.lengths <= j].tolist():
                 slot, known = self.find(prefix[j] - prefix[j - width] * power[width])
                 words = np.flatnonzero(known)
+                words = words[self.spells(slot[words], group[j - width : j, words])]
                 if len(words):
                     yield j - width, j, words, slot[words]
             words = np.flatnonzero(spelt[j - 1])
@@ -94,6 +108,10 @@ class Pieces:
         slot = self.hash.slots(keys)
         return slot, self.keys[slot] == keys
 
+    def spells(self, slot: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Whether pieces have the very bytes of text (bytes x words)."""
+        return (self.size[slot] == len(text)) & (self.spelling[slot, : len(text)].T == text).all(0)
+
     def marginals(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each word, a space put before it, over all its segmentations; and, given the words' counts, the expected counts of
         pieces (by slot, then lone bytes)."""
@@ -140,8 +158,10 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
                     hashes.append(spans_hash(own[parts[k] : parts[m]], starts, ends))
                     where.append(starts + parts[k])
                     size.append(ends - starts)
-                _, first, n = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
-                where, size = np.concatenate(where)[first], np.concatenate(size)[first]
+                where, size = np.concatenate(where), np.concatenate(size)
+                first, back = distinct(own, where, size, np.concatenate(hashes))
+                n = np.bincount(back, minlength=len(first))
+                where, size = where[first], size[first]
                 yield pa.RecordBatch.from_arrays([ragged(gather(own, where, size) if len(first) else np.zeros(0, np.uint8), size), pa.array(n)], ["word", "n"])
 
     found = docs.where(F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text")).mapInArrow(work, "word binary, n long")
@@ -171,7 +191,7 @@ def fit(docs: DataFrame, text: str = "text", path: str = PIECES, prior: float =
     n = np.concatenate([np.exp(pieces.score), np.exp(pieces.single)]) * prior
     n[counts.column("piece").to_numpy()] += counts.column("n").to_numpy()
     log = np.log(n / n.sum())
-    return Pieces(pieces.hash, pieces.keys, log[: pieces.hash.n], pieces.lengths, log[pieces.hash.n :])
+    return Pieces(pieces.hash, pieces.keys, log[: pieces.hash.n], pieces.lengths, log[pieces.hash.n :], pieces.spelling, pieces.size)
 
 
 def score(docs: DataFrame, pieces: Pieces, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -211,7 +231,7 @@ def scored(pieces: Pieces, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     starts, sizes, hashes = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((starts, np.int64), (sizes, np.int64), (hashes, np.uint64)))
     n = len(offsets) - 1
     row = np.searchsorted(offsets, starts, "right") - 1
-    _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    first, back = distinct(data, starts, sizes, hashes)
     log, _ = pieces.marginals(data, starts[first], sizes[first])
     return np.bincount(row, log[back], n) if len(row) else np.zeros(n), np.bincount(row, minlength=n), np.bincount(row, sizes + 1, n).astype(np.int64)
 

@@ -6,13 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import Scratch, binary, chunks, mix, runs, small, spans_hash, utf8
+from themeloom.llm.common import Scratch, binary, chunks, grouped, mix, runs, small, spans_hash, utf8
 
-HASHES, BANDS, SHINGLE, SIMILAR = 128, 32, 3, 0.6
+HASHES, BANDS, SHINGLE, SIMILAR, TILE = 128, 32, 3, 0.6, 256
 _WORD = np.zeros(256, np.uint8)
 _WORD[[*range(48, 58), *range(97, 123), *range(65, 91), *range(128, 256)]] = 1
 _STEPS = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -94,100 +93,119 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def forest(sigs: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that span the components of the graph of all pairs of rows that agree in `least` places or more.
+def joins(sigs: np.ndarray, label: np.ndarray, cut: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between rows that agree in `least` places or more: enough to join all groups (rows of one label are one) that such pairs join.
 
-    Each row reached is compared with all rows not reached yet, so rows that are all alike cost one comparison each.
+    Pairs are those of one row before `cut` and one from there on; cut = len(sigs): all pairs.
     """
-    left, todo, a, b = np.arange(1, len(sigs)), [0], [], []
-    while len(left):
-        if not todo:
-            todo, left = [int(left[0])], left[1:]
-        at = todo.pop()
-        hit = np.concatenate([(sigs[left[i : i + 4096]] == sigs[at]).sum(1) >= least for i in range(0, len(left), 4096)] or [np.zeros(0, bool)])
-        new = left[hit]
-        a.append(np.full(len(new), at))
-        b.append(new)
-        todo += new.tolist()
-        left = left[~hit]
+    n, a, b = len(sigs), [], []
+    label = np.unique(label, return_inverse=True)[1].reshape(-1)
+    for i in range(n - 1 if cut == n else cut):
+        low = i + 1 if cut == n else cut
+        other = np.flatnonzero(label[low:] != label[i]) + low
+        if len(other):
+            other = other[(sigs[other] == sigs[i]).sum(1) >= least]
+            found, first = np.unique(label[other], return_index=True)
+            a.append(np.full(len(first), i))
+            b.append(other[first])
+            label[np.isin(label, found)] = label[i]
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def near_edges(reps: DataFrame, scratch: Scratch, hashes: int, bands: int, similar: float, rounds: int = 2) -> DataFrame:
-    """Verified edges (a, b) that join the documents that all verified pairs of documents sharing a band would join.
+def agreeing(pairs: DataFrame, reps: DataFrame, hashes: int, similar: float) -> DataFrame:
+    """Of pairs (a, b) those whose signatures agree in that share of the places."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(utf8(batch.column(c))[0].tobytes(), np.uint32).reshape(-1, hashes) for c in (2, 3))
+            keep = pa.array((x == y).sum(1) >= similar * hashes)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in (0, 1)], ["a", "b"])
+
+    rows = pairs.join(reps.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b")
+    return rows.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+
 
-    One task has a bucket's signatures and makes a spanning forest of its pairs that are alike; buckets of the same members count once.
-    So buckets of thousands of near copies cost about one comparison a member, and no member is lost as a partner
-    of those unlike the bucket's least. rounds has no effect any more.
+def linked(reps: DataFrame, scratch: Scratch, hashes: int, bands: int, similar: float) -> tuple[DataFrame, DataFrame]:
+    """Verified edges (a, b), and pairs (a, b) that have the same components: those that all alike pairs of documents sharing a band have.
+
+    First every member of a bucket is compared with the bucket's least id: a join, so no task has a bucket, and a group of thousands of near copies
+    costs one comparison a member. Buckets that this leaves in several components are then compared whole, in tiles of two
+    blocks of TILE members at most, where only members of different components are compared.
     """
     width = hashes * 4 // bands
-    rows = reps.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.substring(F.col("sig"), i * width + 1, F.lit(width))))).alias("band", "h"))
-    sets = rows.groupBy("band", "h").agg(F.sort_array(F.collect_list("doc_id")).alias("ids")).where("size(ids) > 1").select("ids").groupBy(F.sha2(F.col("ids").cast("string"), 256).alias("bucket")).agg(F.first("ids").alias("ids"))
-    sets = scratch.write(sets)
-    members = sets.select("bucket", F.explode("ids").alias("doc_id")).join(reps, "doc_id").select("bucket", "doc_id", "sig").repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))
+    rows = reps.select("doc_id", F.explode(keys).alias("key"))
+    buckets = scratch.write(rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    members = scratch.write(rows.join(small(buckets, buckets.count(), 32), "key"))
+    star = members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    first = scratch.write(agreeing(star, reps, hashes, similar))
+    found = scratch.write(components(first, scratch))
+    known = members.where("rows > 2").join(small(found, found.count(), 24), F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    known = scratch.write(known)
+    left = scratch.write(known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("blocks")).where("low <> high"))
+    scratch.drop(buckets, members)
+    pairs = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    if not (n := left.count()):
+        return first, pairs
+    tiles = known.join(small(left.select("key", "blocks"), n, 24), "key").withColumn("block", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
+    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "block", "doc_id", "root").join(reps, "doc_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            key = batch.column(0)
-            # A bucket is done when another begins; the last of a batch may go on in the next.
-            if held and key[0].equals(held[0].column(0)[0]) and key[len(key) - 1].equals(key[0]):
-                held.append(batch)
-                continue
-            new = np.flatnonzero(np.array(pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)))) + 1
-            cut = int(new[-1]) if len(new) else 0
-            yield from joined([*held, batch.slice(0, cut)])
-            held = [batch.slice(cut)]
-        yield from joined(held)
-
-    def joined(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [x for x in parts if x.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts).combine_chunks()
-        key, ids = table.column(0).chunk(0), table.column(1).to_numpy()
-        sigs = np.frombuffer(utf8(table.column(2))[0].tobytes(), np.uint32).reshape(-1, hashes)
-        ends = np.concatenate([[0], np.flatnonzero(np.array(pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)))) + 1, [len(key)]])
-        size = np.diff(ends)
-        two = ends[:-1][size == 2]
-        two = two[(sigs[two] == sigs[two + 1]).sum(1) >= similar * hashes]
-        a, b = [ids[two]], [ids[two + 1]]
-        for i, n in zip(ends[:-1][size > 2], size[size > 2], strict=True):
-            x, y = forest(sigs[i : i + n], similar * hashes)
-            a.append(ids[i + x])
-            b.append(ids[i + y])
-        a, b = np.concatenate(a), np.concatenate(b)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return scratch.write(members.mapInArrow(work, "a long, b long").distinct())
+        for t in grouped(batches):
+            tile, block, ids, root = (t.column(i).to_numpy() for i in range(4))
+            sigs = np.frombuffer(utf8(t.column(4))[0].tobytes(), np.uint32).reshape(-1, hashes)
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            ends = [0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1).tolist(), len(tile)]
+            for i, j in zip(ends[:-1], ends[1:], strict=True):
+                x, y = joins(sigs[i:j], root[i:j], int(np.searchsorted(block[i:j], block[i], "right")), similar * hashes)
+                a.append(ids[i + x])
+                b.append(ids[i + y])
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    tiles = tiles.select("tile", "block", "doc_id", "root", "sig").repartition("tile").sortWithinPartitions("tile", "block", "doc_id")
+    second = scratch.write(tiles.mapInArrow(work, "a long, b long").distinct())
+    return first.union(second), pairs.union(second)
+
+
+def near_edges(reps: DataFrame, scratch: Scratch, hashes: int, bands: int, similar: float, rounds: int = 2) -> DataFrame:
+    """Verified edges (a, b) that join the documents that all verified pairs of documents sharing a band would join. rounds has no effect any more."""
+    return linked(reps, scratch, hashes, bands, similar)[0]
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hashes: int = HASHES, bands: int = BANDS, shingle: int = SHINGLE, similar: float = SIMILAR) -> tuple[DataFrame, Scratch]:
-    """doc_id, group_id of the documents in groups of two rows or more; group_id is the group's least doc_id."""
+    """doc_id, group_id, links of the documents in groups of two rows or more; group_id is the group's least doc_id."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     sigs = scratch.write(signed(docs, text, doc_id, hashes, shingle))
     same = scratch.write(sigs.groupBy(F.md5("sig").alias("d")).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     n = same.count()
     reps = scratch.write(sigs.withColumn("d", F.md5("sig")).join(same.select("d", F.col("rep").alias("doc_id")), ["d", "doc_id"]).select("doc_id", "sig").dropDuplicates(["doc_id"]))
-    roots = components(near_edges(reps, scratch, hashes, bands, similar), scratch)
+    edges, pairs = linked(reps, scratch, hashes, bands, similar)
+    roots = components(pairs, scratch)
     copies = sigs.select("doc_id", F.md5("sig").alias("d")).join(small(same.where("n > 1"), n, 60), "d").select("doc_id", "rep").distinct()
     # Members: copies of a signature, then the representatives' components; an id with two texts joins their groups.
     members = copies.join(roots, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("root", "rep").alias("group_id"))
     members = members.union(roots.join(copies, F.col("node") == F.col("doc_id"), "left_anti").select(F.col("node").alias("doc_id"), F.col("root").alias("group_id")))
-    return scratch.write(members.groupBy("doc_id").agg(F.min("group_id").alias("group_id"))), scratch
+    copies = copies.where("doc_id <> rep")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).union(copies.select(F.explode(F.array("doc_id", "rep")).alias("doc_id")))
+    rows = members.select("doc_id", "group_id", F.lit(0).alias("link")).union(ends.select("doc_id", F.lit(None).cast("long"), F.lit(1)))
+    return scratch.write(rows.groupBy("doc_id").agg(F.min("group_id").alias("group_id"), F.sum("link").alias("links"))), scratch
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **knobs) -> DataFrame:
-    """doc_id, group_id (least id of its group of near copies), kept; one row a row of docs.
+    """doc_id, group_id (least id of its group of near copies), links, kept; one row a row of docs.
 
+    links counts the verified links that hold the document in its group: at most one a member to a bucket's least id, those that join what is still
+    apart, and one from each copy of a signature to the least id of it. A document outside groups has 0.
     Texts count as lower-case words of letters and digits. null, empty or wordless text and null doc_id: a group of its own, kept
     (group_id is its doc_id). A text of fewer words than a shingle is one shingle. Repeated rows of an id are one
     document. Ties: the least id stays. An empty table gives no rows; other columns don't matter.
     """
     groups, _ = near_groups(docs, text, doc_id, **knobs)
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"))
-    out = ids.join(groups, "doc_id", "left").select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"))
+    out = ids.join(groups, "doc_id", "left").select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("group_id")))
 
 

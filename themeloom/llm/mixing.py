@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,8 @@ from themeloom.llm.common import ready, small
 log = logging.getLogger(__name__)
 SHARDS, BLOCK, TEMPERATURE, SEED = 32, 32, 0.5, 20240
 BUCKET = 20_000
+#: Documents of a shard at most, about, from SHARDS shards on; blocks that the tree deals at most (the generator takes 10 ** 9).
+SHARD_ROWS, MOST_BLOCKS = 1 << 16, 1 << 29
 #: Sources that together hold less than this share of all documents are drawn whole and don't bound the others.
 RARE = 0.1
 
@@ -82,16 +84,18 @@ def split(blocks: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mixed(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE, shards: int = SHARDS, block: int = BLOCK, seed: int = SEED, bucket: int = BUCKET, total: int | None = None) -> DataFrame:
-    """`row` (struct of docs' columns), shard, order: the rows drawn, by output shard; sort a shard by order.
+def mixed(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE, shards: int | None = None, block: int = BLOCK, seed: int = SEED, bucket: int = BUCKET, total: int | None = None, keep: Sequence[str] | None = None) -> tuple[DataFrame, int]:
+    """`row` (struct of docs' columns, or those of keep), shard, order: the rows drawn, by output shard (sort a shard by order); and how many shards there are.
 
     Rows of a source are ranked by a keyed hash: ranks are exact although no task sorts a whole source, since the hash's top
     bits split it in buckets whose counts are added up. Consecutive ranks form blocks; shard k takes the next
     disjoint run of blocks that the splitting tree gives it, so a source's quota is met to the row.
 
-    null source: a source of its own. null doc_id or text: rows like any other. Repeated rows: each counts and may be
-    drawn; equal hashes rank by doc_id, then in any order, which only equal rows can have. Empty table: no rows. Other columns
-    ride inside `row`.
+    Without `shards` there are SHARDS, or one for each SHARD_ROWS documents drawn if that is more; blocks grow beyond MOST_BLOCKS of them.
+
+    null source: a source of its own. The hash is of doc_id and source, so other columns, whatever their names, change nothing; where doc_id is null it is
+    of the whole row. Repeated rows: each counts and may be drawn; rows of one doc_id rank by a hash of the row, then in any order, which only equal
+    rows can have. Empty table: no rows. Other columns ride inside `row`.
     """
     spark = docs.sparkSession
     ready(spark)
@@ -100,12 +104,15 @@ def mixed(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", weigh
     want = quotas(counts, None if weights is None else {"n" if k is None else f"s{k}": v for k, v in weights.items()}, temperature, total)
     log.info("rows drawn by source, of rows there: %s", {s[1:] if s != "n" else None: (want.get(s, 0), n) for s, n in sorted(counts.items())})
     names = sorted(want)
+    block = max(block, -(-sum(want.values()) // MOST_BLOCKS))
+    shards = shards or max(SHARDS, -(-sum(want.values()) // SHARD_ROWS))
     n_blocks = np.array([-(-want[s] // block) for s in names], np.int64)
     ends = split(n_blocks, shards, seed).cumsum(0) if names else np.zeros((shards, 0), np.int64)
     bits = min(40, max(0, int(np.ceil(np.log2(max(1, max(counts.values(), default=1) / bucket))))))
 
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), tag(F.col(source)).alias("s"), F.col(doc_id).alias("id"))
-    hashed = rows.withColumn("key", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "s", *([F.col("row.text")] if "text" in docs.columns else [])), 1))
+    whole = F.xxhash64(*(F.col(f"`{c}`").cast("string") if "map" in t else F.col(f"`{c}`") for c, t in docs.dtypes))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns)).alias("row"), tag(F.col(source)).alias("s"), F.col(doc_id).alias("id"), whole.alias("whole"))
+    hashed = rows.withColumn("key", F.shiftrightunsigned(F.when(F.col("id").isNull(), F.xxhash64(F.lit(seed), "whole", "s")).otherwise(F.xxhash64(F.lit(seed), "id", "s")), 1))
     hashed = hashed.withColumn("bucket", F.shiftright("key", 63 - bits))
     cells = hashed.groupBy("s", "bucket").count()
     before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,7 +120,7 @@ def mixed(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", weigh
     known = spark.createDataFrame([(s, i, want[s]) for i, s in enumerate(names)], "s string, source_no int, want long")
     n_cells = sum(min(1 << bits, n) for n in counts.values())
     cells = cells.join(small(known, len(names), 40), "s")
-    ranked = hashed.withColumn("rank", F.row_number().over(Window.partitionBy("s", "bucket").orderBy("key", "id")))
+    ranked = hashed.withColumn("rank", F.row_number().over(Window.partitionBy("s", "bucket").orderBy("key", "id", "whole")))
     ranked = ranked.join(small(cells, n_cells, 60), ["s", "bucket"]).withColumn("rank", F.col("rank") + F.col("before") - 1).where("rank < want")
 
     @F.pandas_udf("int")
@@ -124,20 +131,19 @@ def mixed(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", weigh
             out[no == i] = np.searchsorted(ends[:, i], at[no == i], "right")
         return pd.Series(out)
 
-    return ranked.select("row", shard_of("source_no", "rank").alias("shard"), F.xxhash64(F.lit(seed + 1), "key", "rank").alias("order"))
+    return ranked.select("row", shard_of("source_no", "rank").alias("shard"), F.xxhash64(F.lit(seed + 1), "key", "rank").alias("order")), shards
 
 
 def mix_plan(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", **knobs) -> DataFrame:
-    """doc_id, source, shard, position (0, 1, .. in the shard after its local shuffle) of every document drawn."""
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"))
-    out = mixed(slim, **knobs)
-    w = Window.partitionBy("shard").orderBy("order", "row.doc_id")
-    return out.select("row.*", "shard", (F.row_number().over(w) - 1).alias("position"))
+    """doc_id, source, shard, position (0, 1, .. in the shard after its local shuffle) of every document that mix_sources() draws with the same knobs."""
+    out, _ = mixed(docs, source, doc_id, keep=[doc_id, source], **knobs)
+    w = Window.partitionBy("shard").orderBy("order", "doc_id")
+    return out.select(F.col(f"row.`{doc_id}`").alias("doc_id"), F.col(f"row.`{source}`").alias("source"), "shard", "order").select("doc_id", "source", "shard", (F.row_number().over(w) - 1).alias("position"))
 
 
-def mix_sources(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", shards: int = SHARDS, **knobs) -> DataFrame:
+def mix_sources(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", **knobs) -> DataFrame:
     """The documents drawn, their columns as they are: partition k is shard k in its shuffled order."""
-    out = mixed(docs, source, doc_id, shards=shards, **knobs)
+    out, shards = mixed(docs, source, doc_id, **knobs)
     return out.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "order").select("row.*")
 
 

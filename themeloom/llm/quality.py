@@ -23,6 +23,8 @@ _LOWER[65:91] += 32
 _SMALL, _CAPITAL = np.zeros(256, np.int32), np.zeros(256, np.int32)
 _SMALL[97:123] = _CAPITAL[65:91] = 1
 _CAPS, _AGAIN = 101, 301
+#: Cosines that differ by less are equal.
+_TIE = 1e-5
 
 
 def features(data: np.ndarray, offsets: np.ndarray, index: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,24 +78,27 @@ class Model:
         return np.divide(out, norm, out=out, where=norm > 1e-6)
 
     def vote(self, vectors: np.ndarray, k: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-        """Shares of good and of toxic among the k labelled documents of greatest cosine, weighted by it."""
+        """Shares of good and of toxic among the k labelled documents of greatest cosine, and those as near as the last of them, weighted by it."""
         good, toxic = np.full(len(vectors), self.prior[0]), np.full(len(vectors), self.prior[1])
         k = min(k, len(self.vectors))
+        n = len(self.vectors)
+        labels = np.stack([self.good, self.toxic], 1).astype(np.float32) if k else None
         for i in range(0, len(vectors), block) if k else ():
             cosine = vectors[i : i + block] @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64)
+            border = np.partition(cosine, n - k, axis=1)[:, n - k, None]
+            weight = np.where(cosine >= border - _TIE, np.maximum(cosine, 0), 0)
             total = weight.sum(1)
             some = total > 1e-6
-            for out, label in ((good, self.good), (toxic, self.toxic)):
-                out[i : i + block][some] = (weight * label[near]).sum(1)[some] / total[some]
+            share = (weight @ labels)[some] / total[some, None]
+            good[i : i + block][some], toxic[i : i + block][some] = share[:, 0], share[:, 1]
         return good, toxic
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, dims: int = DIMS, keep: int = FEATURES, seed: int = 5) -> Model:
     """Fitted on at most `sample` labelled documents, those of least hashed id; features and the projection come from them.
 
-    Of an id labelled more than once the worst labels count; null labels, or labels without a document, don't.
+    Of an id labelled more than once the worst labels count; null labels, or labels without a document, don't. Rows repeated with their id count
+    once, and of an id with several texts that of the least hash, so the bound holds for rows too.
     """
     ready(docs.sparkSession)
     marks = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("k")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
@@ -102,15 +107,16 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(3))
+            data, offsets = utf8(batch.column(4))
             for i, j in chunks(offsets, BLOCK):
                 row, ids, count = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 at = pa.array(np.searchsorted(row, np.arange(j - i + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (ids, count)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(3)), *lists], ["k", "quality", "toxic", "ids", "counts"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(4)), *lists], ["k", "h", "quality", "toxic", "ids", "counts"])
 
-    src = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("k"), F.col(text).alias("t")).join(F.broadcast(marks), "k").select("k", "quality", "toxic", "t")
-    table = src.mapInArrow(work, "k long, quality int, toxic int, ids array<int>, counts array<int>").toArrow().sort_by("k")
+    src = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("k"), F.col(text).alias("t")).join(F.broadcast(marks), "k").select("k", F.xxhash64("t").alias("h"), "quality", "toxic", "t")
+    found = src.mapInArrow(work, "k long, h long, quality int, toxic int, ids array<int>, counts array<int>")
+    table = found.groupBy("k").agg(F.min(F.struct("h", "quality", "toxic", "ids", "counts")).alias("r")).select("k", "r.*").toArrow().sort_by("k")
     good, toxic = (table.column(c).to_numpy().astype(np.float64) for c in ("quality", "toxic"))
     n = len(good)
     size = np.array([len(x) for x in table.column("ids")], np.int64) if n else np.zeros(0, np.int64)
@@ -153,7 +159,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
     """doc_id, good, toxic (neighbours' weighted shares), kept (good at least GOOD and toxic below TOXIC); one row a row of docs.
 
     A text without any feature that tells the classes apart, null and empty ones included, is like no labelled document: it
-    gets the shares 1 and 0 and stays. Whole texts count. Equal cosines at the border take any neighbour.
+    gets the shares 1 and 0 and stays. Whole texts count. Of equal cosines at the border all vote, so ties
+    don't depend on any order.
     Repeated rows repeat; an empty table gives no rows; other columns don't matter.
     """
     ready(docs.sparkSession)
