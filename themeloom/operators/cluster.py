@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -33,17 +34,64 @@ def means(rows: DataFrame, vector: str) -> dict[int, np.ndarray]:
 
 
 def lloyd(rows: DataFrame, centres: np.ndarray, iterations: int = 10, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, np.ndarray]:
-    """key, topic_id and the centres after so many rounds of k-means from given centres; a cluster that empties keeps its centre."""
+    """key, topic_id and the centres after so many rounds of k-means from given centres; a cluster that empties keeps its centre.
+
+    An empty table, or no centres, has no labels; rows without a vector have none.
+    """
     centres = np.array(centres, float)
+    if not len(centres):
+        return rows.where("false").select(key, F.lit(0).alias("topic_id")), centres
+    rows = settle(rows.select(key, vector).where(F.col(vector).isNotNull()))
     for _ in range(iterations):
         for i, m in means(assign(rows, centres, key, vector), vector).items():
             centres[i] = m
     return assign(rows, centres, key, vector).select(key, "topic_id"), centres
 
 
-def first_rows(rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> np.ndarray:
-    """The vectors of the k least keys: fixed seeds."""
-    return np.array([list(r[1]) for r in rows.select(key, vector).orderBy(key).limit(k).collect()], float)
+def first_rows(rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", hashed: bool = False) -> np.ndarray:
+    """The vectors of the k least keys, or of the least hashes of keys, which a corpus in order doesn't put in one cluster: fixed seeds."""
+    by = [F.xxhash64(key), F.col(key)] if hashed else [F.col(key)]
+    return np.array([list(r[1]) for r in rows.select(key, vector).where(F.col(vector).isNotNull()).orderBy(*by).limit(k).collect()], float)
+
+
+@dataclass
+class Moments:
+    """Sums over the rows of a group: count, x, y, x x', x y', y y'."""
+
+    n: float
+    x: np.ndarray
+    y: np.ndarray
+    xx: np.ndarray
+    xy: np.ndarray
+    yy: np.ndarray
+
+    def slopes(self) -> np.ndarray:
+        """Coefficients (dims x outputs) of the least squares from x to y with an intercept, of least norm."""
+        n = max(self.n, 1)
+        return np.linalg.pinv(self.xx - np.outer(self.x, self.x) / n, hermitian=True) @ (self.xy - np.outer(self.x, self.y) / n)
+
+
+def moments(rows: DataFrame, group: str, x: str = "v", y: str = "y") -> dict[int, Moments]:
+    """Moments by group, which are few: Arrow batches add up, and only (dims + outputs) ** 2 cells a group reach the driver."""
+    import pandas as pd
+
+    def work(it):
+        for pdf in it:
+            for g, part in pdf.groupby("g"):
+                z = np.concatenate([np.stack(part["x"]).astype(float), np.stack(part["y"]).astype(float), np.ones((len(part), 1))], axis=1)
+                cells = z.T @ z
+                yield pd.DataFrame({"g": g, "i": np.arange(len(cells)), "d": len(part["x"].iloc[0]), "row": list(cells)})
+
+    got = rows.select(F.col(group).cast("int").alias("g"), F.col(x).alias("x"), F.col(y).alias("y")).where("g is not null").mapInPandas(work, "g int, i int, d int, row array<double>")
+    sums = got.select("g", "i", "d", F.posexplode("row").alias("j", "c")).groupBy("g", "d", "i", "j").agg(F.sum("c").alias("c")).collect()
+    out, sizes = {}, {r.g: r.d for r in sums}
+    for g, d in sizes.items():
+        own = [r for r in sums if r.g == g]
+        m = np.zeros((max(r.i for r in own) + 1,) * 2)
+        for r in own:
+            m[r.i, r.j] = r.c
+        out[g] = Moments(m[-1, -1], m[:d, -1], m[d:-1, -1], m[:d, :d], m[:d, d:-1], m[d:-1, d:-1])
+    return out
 
 
 def normal_pdf(cols: Sequence[str], mean: Sequence[float], cov: np.ndarray) -> Column:
@@ -82,15 +130,15 @@ def fixed_mean_mixture(points: DataFrame, centres: np.ndarray, weights: np.ndarr
 def density_grid(points: DataFrame, side: int = 100) -> DataFrame:
     """gx, gy, px, py, z: Gaussian kernel density, Scott's bandwidth, on a grid over the range of both axes.
 
-    points: x, y. The grid is the fixed side and is broadcast; each point adds to its cells in map-side sums.
+    Points on a line or all alike have no density of this kind: z is 0 everywhere; no points: no cells. points: x, y. The grid is the fixed side and is broadcast; each point adds to its cells in map-side sums.
     """
     box = points.agg(F.least(F.min("x"), F.min("y")).alias("lo"), F.greatest(F.max("x"), F.max("y")).alias("hi"), F.var_samp("x").alias("a"), F.covar_samp("x", "y").alias("b"), F.var_samp("y").alias("c"), F.count(F.lit(1)).alias("n"))
     box = box.withColumn("s", F.pow("n", F.lit(-1.0 / 3)))  # Scott's factor n ** (-1 / (d + 4)), squared
-    box = box.selectExpr("lo", "hi", "n", "a * s AS a", "b * s AS b", "c * s AS c").selectExpr("*", "a * c - b * b AS det")
+    box = box.selectExpr("lo", "hi", "n", "a * s AS a", "b * s AS b", "c * s AS c").selectExpr("*", "a * c - b * b AS det").where("n > 0")
     grid = box.select("*", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("gx")).select("*", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("gy"))
     grid = grid.selectExpr("*", f"lo + gx * (hi - lo) / {side - 1} AS px", f"lo + gy * (hi - lo) / {side - 1} AS py")
-    cells = points.crossJoin(F.broadcast(grid)).selectExpr("gx", "gy", "px", "py", "exp(-0.5 * ((x - px) * (x - px) * c - 2 * (x - px) * (y - py) * b + (y - py) * (y - py) * a) / det) / (2 * pi() * sqrt(det) * n) AS z")
-    return cells.groupBy("gx", "gy", "px", "py").agg(F.sum("z").alias("z"))
+    cells = points.crossJoin(F.broadcast(grid)).selectExpr("gx", "gy", "px", "py", "exp(-0.5 * ((x - px) * (x - px) * c - 2 * (x - px) * (y - py) * b + (y - py) * (y - py) * a) / nullif(det, 0)) / nullif(2 * pi() * sqrt(greatest(det, 0)) * n, 0) AS z")
+    return cells.groupBy("gx", "gy", "px", "py").agg(F.coalesce(F.sum("z"), F.lit(0.0)).alias("z"))
 
 
 def peaks(grid: DataFrame, digits: int = 9) -> DataFrame:
@@ -105,13 +153,18 @@ def peaks(grid: DataFrame, digits: int = 9) -> DataFrame:
 def ica(rows: DataFrame, k: int, iterations: int = 50, tol: float = 1e-6, key: str = "vec_id", vector: str = "embedding", seed: int = 0) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """key and s (array of k signals), the unmixing matrix (k x dims) and the mean: symmetric fixed-point ICA (Hyvarinen, 1999), tanh.
 
-    One pass gathers mean and covariance; whitening is on the driver; every iteration is one pass that sums k x k cells.
+    One pass gathers mean and covariance; whitening is on the driver; every iteration is one pass that sums k x k cells. There are at most as many
+    components as dimensions; rows without a vector don't count, and an empty table has no signals.
     """
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
     vec = rows.select(key, F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    n_dims = len(vec.first().v)
+    vec = settle(vec.where("v is not null"))
+    if (first := vec.first()) is None:
+        return vec.select(key, F.col("v").alias("s")), np.zeros((k, 0)), np.zeros(0)
+    n_dims = len(first.v)
+    k = min(k, n_dims)
     mean = vec.select(array_to_vector("v").alias("f")).select(Summarizer.mean(F.col("f")).alias("m")).first().m.toArray()
     n = vec.count()
 

@@ -19,14 +19,14 @@ def soft_counts(dtm: DataFrame, soft: DataFrame, *keys: str) -> DataFrame:
 
 
 def ctf_idf(counts: DataFrame, normalized: bool = False, *keys: str) -> DataFrame:
-    """tf * ln(1 + A / f), A the mean count of a topic, f the term's in all; normalized: tf is a share of the topic's."""
+    """tf * ln(1 + A / f), A the mean count of a topic, f the term's in all; normalized: tf is a share of the topic's. A count of 0 has weight 0."""
     term, topic, whole = Window.partitionBy("term", *keys), Window.partitionBy("topic_id", *keys), Window.partitionBy(*keys) if keys else None
     per_topic = counts.groupBy("topic_id", *keys).agg(F.sum("tf").alias("n"))
     mean = per_topic.groupBy(*keys).agg((F.sum("n") / F.count(F.lit(1))).alias("a")) if keys else per_topic.agg((F.sum("n") / F.count(F.lit(1))).alias("a"))
     rows = counts.withColumn("f", F.sum("tf").over(term))
     rows = rows.join(F.broadcast(mean), list(keys)) if whole is not None else rows.crossJoin(F.broadcast(mean))
-    tf = F.col("tf") / F.sum("tf").over(topic) if normalized else F.col("tf").cast("double")
-    return rows.select(*keys, "topic_id", "term", (tf * F.log(1 + F.col("a") / F.col("f"))).alias("weight"))
+    tf = F.try_divide("tf", F.sum("tf").over(topic)) if normalized else F.col("tf").cast("double")
+    return rows.select(*keys, "topic_id", "term", F.coalesce(tf * F.log(1 + F.try_divide("a", "f")), F.lit(0.0)).alias("weight"))
 
 
 def soft_ctf_idf(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def dense(counts: DataFrame, topics: DataFrame, vocab: DataFrame) -> DataFrame:
 def npmi(full: DataFrame, mass: DataFrame, smoothing: float = 5, compat: bool = False) -> DataFrame:
     """Normalised pointwise mutual information of term and topic. full: dense counts; mass: topic_id, m (the documents' weight).
 
-    The denominator is -log2(p(w|t) p(t)); compat: -(log2 p(w|t) - log2 p(t)).
+    The denominator is -log2(p(w|t) p(t)); compat: -(log2 p(w|t) - log2 p(t)). Where it is 0 (one topic of one term) the weight is 0.
     """
     s = F.lit(float(smoothing))
     per_topic, per_term = Window.partitionBy("topic_id"), Window.partitionBy("term")
@@ -56,7 +56,7 @@ def npmi(full: DataFrame, mass: DataFrame, smoothing: float = 5, compat: bool =
     rows = rows.crossJoin(F.broadcast(totals)).join(F.broadcast(p_t), "topic_id").withColumn("p_w", (F.col("f") + s) / F.col("all"))
     top = F.log2("p_wt") - F.log2("p_w")
     below = -(F.log2("p_wt") - F.log2("p_t")) if compat else -(F.log2("p_wt") + F.log2("p_t"))
-    return rows.select("topic_id", "term", (top / below).alias("weight"))
+    return rows.select("topic_id", "term", F.when(below != 0, top / below).otherwise(0.0).alias("weight"))
 
 
 def fighting_words(full: DataFrame, prior: float | None = None) -> DataFrame:
@@ -71,10 +71,14 @@ def fighting_words(full: DataFrame, prior: float | None = None) -> DataFrame:
 
 
 def bm25(dtm: DataFrame, b: float = 0.7, k1: float = 8) -> DataFrame:
-    """doc_id, term, weight. The mean length is that of the documents with terms."""
-    doc, term = Window.partitionBy("doc_id"), Window.partitionBy("term")
+    """doc_id, term, weight. The mean length is that of the documents with terms; an empty table gives no rows.
+
+    Document frequencies are counted with partial sums and joined, so the rows of a common term never meet in one task.
+    """
+    doc = Window.partitionBy("doc_id")
     stats = dtm.groupBy("doc_id").agg(F.sum("tf").alias("len")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("mean"))
-    rows = dtm.withColumn("len", F.sum("tf").over(doc)).withColumn("df", F.count(F.lit(1)).over(term)).crossJoin(F.broadcast(stats))
+    df = dtm.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rows = dtm.withColumn("len", F.sum("tf").over(doc)).join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     k = F.lit(1.0 - b) + F.lit(float(b)) * F.col("len") / F.col("mean")
     return rows.select("doc_id", "term", (idf * (F.col("tf") * F.lit(float(k1 + 1))) / (F.col("tf") + F.lit(float(k1)) * k)).alias("weight"))

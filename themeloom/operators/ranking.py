@@ -60,13 +60,17 @@ def share(soft: DataFrame, mode: str = "sum") -> DataFrame:
         total = F.sum("weight").over(Window.partitionBy("doc_id"))
         rows = soft.withColumn("weight", F.when(total > 0, F.col("weight") / total).otherwise(0.0))
     sums = rows.groupBy("topic_id").agg((F.avg("weight") if mode == "mean" else F.sum("weight")).alias("share"))
-    return sums if mode == "mean" else sums.select("topic_id", (F.col("share") / F.sum("share").over(Window.partitionBy())).alias("share"))
+    return sums if mode == "mean" else sums.select("topic_id", F.coalesce(F.try_divide("share", F.sum("share").over(Window.partitionBy())), F.lit(0.0)).alias("share"))
 
 
 def decay(soft: DataFrame) -> DataFrame:
-    """rank, low, median, high: quantiles, at 2.5, 50 and 97.5 %, of the documents' normalised weights in falling order."""
+    """rank, low, median, high: quantiles, at 2.5, 50 and 97.5 %, of the documents' normalised weights in falling order.
+
+    Weights count at six places, so a rank has a million distinct values at most, and their counts, not the documents, are what a task holds.
+    A document whose weights sum to 0 has weights of 0.
+    """
     by = Window.partitionBy("doc_id")
-    rows = soft.withColumn("w", F.col("weight") / F.sum("weight").over(by)).withColumn("rank", F.row_number().over(by.orderBy(F.desc("w"), "topic_id")))
+    rows = soft.withColumn("w", F.round(F.coalesce(F.try_divide("weight", F.sum("weight").over(by)), F.lit(0.0)), 6)).withColumn("rank", F.row_number().over(by.orderBy(F.desc("w"), "topic_id")))
     return rows.groupBy("rank").agg(*(F.percentile("w", F.lit(q)).alias(n) for n, q in (("low", 0.025), ("median", 0.5), ("high", 0.975))))
 
 

@@ -85,8 +85,8 @@ def ids_of(column: str, rows: DataFrame) -> DataFrame:
 
 def factorize(rows: DataFrame, key: str, label: str) -> DataFrame:
     """key, topic_id: labels as numbers from 0 in their order; a missing label (null) is -1."""
-    ids = ids_of(label, rows)
-    return rows.join(F.broadcast(ids), rows[label] == ids["value"], "left").select(key, F.coalesce("id", F.lit(-1)).alias("topic_id"))
+    ids = ids_of(label, rows)  # no hint: labels may be many, and a join of measured size broadcasts them if they are few
+    return rows.join(ids, rows[label] == ids["value"], "left").select(key, F.coalesce("id", F.lit(-1)).alias("topic_id"))
 
 
 def stems(rows: DataFrame, term: str = "term") -> DataFrame:

@@ -210,10 +210,15 @@ def vocab_union(spark, sf):
 
 @query("SELECT doc_id, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 25) AS BIGINT) AS batch FROM documents")
 def batched(spark, sf):
+    """Batches of 25 of each source in order of id. Ranges of ids are ranked by themselves and offset by the counts before them, so no task sorts a whole source."""
     from pyspark.sql import Window
 
-    at = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return corpus(spark, sf).select("doc_id", F.floor(at / 25).alias("batch"))
+    rows = corpus(spark, sf).select("doc_id", "source", F.floor(F.col("doc_id") / 4096).alias("part"))
+    ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy("source", "part").count().select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("before"))
+    own = rows.withColumn("at", F.row_number().over(Window.partitionBy("source", "part").orderBy("doc_id")) - 1)
+    own = own.join(cells, own["source"].eqNullSafe(cells["s"]) & (own["part"] == cells["p"]))
+    return own.select("doc_id", F.floor((F.col("at") + F.col("before")) / 25).alias("batch"))
 
 
 @query(with_("SELECT doc_id, pos, start, substr(lower(text), CAST(start AS BIGINT), length(term)) AS term FROM (SELECT doc_id, text, pos, term, instr_at AS start FROM toks)", toks="SELECT item_id AS doc_id, text, pos, w[pos + 1] AS term, length(array_to_string(list_transform(range(0, pos), lambda k: gaps[k + 1] || w[k + 1]), '')) + length(gaps[pos + 1]) + 1 AS instr_at FROM (SELECT item_id, text, regexp_extract_all(lower(text), '" + TOKEN + "') AS w, regexp_split_to_array(lower(text), '" + TOKEN + "') AS gaps FROM benchmark), LATERAL (SELECT unnest(range(len(w))) AS pos)"))

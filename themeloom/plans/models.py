@@ -57,8 +57,7 @@ def _long(df, key, p):
     return factor.long(df, key, p, K).select(key, "topic_id", r6("weight").alias("weight"))
 
 
-_COUNT_CELLS = "SELECT doc_id, term, CAST(tf AS DOUBLE) AS x, CAST(1 + doc_id % 3 AS DOUBLE) AS p FROM dtm0 JOIN frequent USING (term)"
-_FREQUENT = "SELECT term FROM dtm0 GROUP BY term HAVING count(*) >= 0.1 * (SELECT count(*) FROM documents)"
+_COUNT_CELLS = "SELECT doc_id, term, CAST(tf AS DOUBLE) AS x, CAST(1 + doc_id % 3 AS DOUBLE) AS p FROM dtm"
 _KEY_CELLS = "SELECT doc_id, term, sim AS x FROM kw WHERE rank <= 10"
 
 
@@ -70,13 +69,8 @@ def _keyword_cells(spark, sf):
 
 
 def _count_cells(spark, sf):
-    from themeloom.operators import text
-
-    docs = corpus(spark, sf)
-    counts = text.doc_terms(text.tokens(docs))
-    least = docs.agg((F.count(F.lit(1)) * 0.1).alias("least"))
-    frequent = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(least)).where("df >= least")
-    return counts.join(frequent.select("term"), "term").select("doc_id", "term", F.col("tf").cast("double").alias("x"))
+    """The whole vocabulary: terms in ten documents or more."""
+    return tables.dtm(corpus(spark, sf)).select("doc_id", "term", F.col("tf").cast("double").alias("x"))
 
 
 @query(with_(_unpivot(f"h_{STEPS}", "term", "h"), **_NORMS, **_nmf_parts(_KEY_CELLS)))
@@ -96,14 +90,14 @@ def keynmf_transform(spark, sf):
     return _long(factor.nmf(cells, K, STEPS, fixed=settle(h))[0], "doc_id", "w")
 
 
-@query(with_(_unpivot(f"h_{STEPS}", "term", "h"), frequent=_FREQUENT, pw="SELECT DISTINCT doc_id, p FROM cells", **_nmf_parts(_COUNT_CELLS, weighted=True)))
+@query(with_(_unpivot(f"h_{STEPS}", "term", "h"), pw="SELECT DISTINCT doc_id, p FROM cells", **_nmf_parts(_COUNT_CELLS, weighted=True)))
 def weighted_nmf(spark, sf):
     cells = _count_cells(spark, sf)
     weights = corpus(spark, sf).select("doc_id", (1 + F.col("doc_id") % 3).alias("weight"))
     return _long(factor.nmf(cells, K, STEPS, weights=weights)[1], "term", "h")
 
 
-@query(with_(_unpivot(f"h_{STEPS}", "term", "h"), frequent=_FREQUENT, **_nmf_parts(_COUNT_CELLS)))
+@query(with_(_unpivot(f"h_{STEPS}", "term", "h"), **_nmf_parts(_COUNT_CELLS)))
 def nmf(spark, sf):
     return _long(factor.nmf(_count_cells(spark, sf), K, STEPS)[1], "term", "h")
 
@@ -111,7 +105,6 @@ def nmf(spark, sf):
 _BIN_STEPS = 3
 _BIN = dict(
     cells=_COUNT_CELLS,
-    frequent=_FREQUENT,
     w="SELECT doc_id, bin, " + ", ".join(f"instr('0123456789abcdef', substr(md5(doc_id || '#{i}'), 1, 1)) / CAST(16 AS DOUBLE) AS w{i}" for i in _RANGE) + " FROM binned",
     gb="SELECT bin, " + ", ".join(f"sum(w{i} * w{j}) AS g{i}{j}" for i in _RANGE for j in _RANGE) + " FROM w GROUP BY bin",
     nb="SELECT bin, term, " + ", ".join(f"sum(x * w{i}) AS n{i}" for i in _RANGE) + " FROM cells JOIN w USING (doc_id) GROUP BY ALL",
@@ -255,21 +248,21 @@ def senstopic(spark, sf):
     return g.select("vec_id", r6("g0").alias("g0"), r6("g1").alias("g1"))
 
 
-_COSTS = "SELECT a.topic_id AS a_id, b.topic_id AS b_id, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS m FROM cen a JOIN cen b USING (i) WHERE a.topic_id < 5 GROUP BY ALL"
+_COSTS = "SELECT a.topic_id AS a_id, b.topic_id AS b_id, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS m FROM cen a JOIN cen b USING (i) GROUP BY ALL"
 
 
 def _sinkhorn_parts(steps: int) -> dict[str, str]:
-    parts = {"costs": _COSTS, "kk": "SELECT a_id, b_id, exp(-3.0 * m) AS k FROM costs", "u_0": "SELECT DISTINCT a_id, 1.0 / 5 AS u FROM kk"}
+    parts = {"costs": _COSTS, "kk": "SELECT a_id, b_id, exp(-3.0 * m) AS k FROM costs", "u_0": "SELECT DISTINCT a_id, 1.0 / CAST((SELECT count(DISTINCT a_id) FROM kk) AS DOUBLE) AS u FROM kk"}
     for s in range(1, steps + 1):
-        parts[f"v_{s}"] = f"SELECT b_id, 0.1 / (sum(k * u) + 1e-16) AS v FROM kk JOIN u_{s - 1} USING (a_id) GROUP BY b_id"
-        parts[f"u_{s}"] = f"SELECT a_id, 0.2 / (sum(k * v) + 1e-16) AS u FROM kk JOIN v_{s} USING (b_id) GROUP BY a_id"
+        parts[f"v_{s}"] = f"SELECT b_id, 1.0 / CAST((SELECT count(DISTINCT b_id) FROM kk) AS DOUBLE) / (sum(k * u) + 1e-16) AS v FROM kk JOIN u_{s - 1} USING (a_id) GROUP BY b_id"
+        parts[f"u_{s}"] = f"SELECT a_id, 1.0 / CAST((SELECT count(DISTINCT a_id) FROM kk) AS DOUBLE) / (sum(k * v) + 1e-16) AS u FROM kk JOIN v_{s} USING (b_id) GROUP BY a_id"
     return parts
 
 
 @query(with_(f"SELECT a_id, b_id, {q6('u * k * v')} AS plan FROM kk JOIN u_4 USING (a_id) JOIN v_4 USING (b_id)", **_sinkhorn_parts(4)))
 def sinkhorn(spark, sf):
     means = similarity.centroids(table(spark, sf, "embeddings"))
-    a, b = means.where("topic_id < 5").select(F.col("topic_id").alias("a_id"), F.col("v").alias("a")), means.select(F.col("topic_id").alias("b_id"), F.col("v").alias("b"))
+    a, b = means.select(F.col("topic_id").alias("a_id"), F.col("v").alias("a")), means.select(F.col("topic_id").alias("b_id"), F.col("v").alias("b"))
     costs = a.crossJoin(F.broadcast(b)).select("a_id", "b_id", similarity.METRICS["euclidean"]().alias("m"))
     return cluster.sinkhorn(costs, 3.0, 4).select("a_id", "b_id", r6("plan").alias("plan"))
 
@@ -301,7 +294,7 @@ def lda(spark, sf):
     from themeloom.functions import terms
 
     words = corpus(spark, sf).select("doc_id", terms("text").alias("words"))
-    model = CountVectorizer(inputCol="words", outputCol="features", minDF=10.0, vocabSize=5000).fit(words)
+    model = CountVectorizer(inputCol="words", outputCol="features", minDF=10.0, vocabSize=1 << 24).fit(words)
     counts = model.transform(words)
     out = LDA(k=5, maxIter=10, seed=1).fit(counts).transform(counts)
     return out.select("doc_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic_id", "weight"))
@@ -317,12 +310,12 @@ def linear_importance(spark, sf):
     return cluster.discriminants(vectors, terms)
 
 
-@query(with_(f"SELECT doc_id, i, {q6('sum(x)')} AS x FROM (SELECT vec_id AS doc_id, i, (1 + vec_id % 2) * c.x AS x FROM embeddings, cen c WHERE topic_id = 0 UNION ALL SELECT vec_id, i, (2 - vec_id % 2) * c.x FROM embeddings, cen c WHERE topic_id = 1) GROUP BY ALL"))
+@query(with_(f"SELECT doc_id, i, {q6('sum(x)')} AS x FROM (SELECT vec_id AS doc_id, i, (1 + (vec_id + topic_id) % 3) * c.x AS x FROM embeddings, cen c) GROUP BY ALL"))
 def snmf_inverse(spark, sf):
     """Vectors rebuilt from weights and components."""
-    means = similarity.centroids(table(spark, sf, "embeddings")).where("topic_id < 2")
-    soft = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.posexplode(F.array(1 + F.col("vec_id") % 2, 2 - F.col("vec_id") % 2)).alias("topic_id", "w"))
-    rows = soft.join(F.broadcast(means), "topic_id").select("doc_id", "w", F.posexplode("v").alias("i", "x"))
+    means = similarity.centroids(table(spark, sf, "embeddings"))
+    ids = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    rows = ids.crossJoin(F.broadcast(means)).select("doc_id", (1 + (F.col("doc_id") + F.col("topic_id")) % 3).alias("w"), F.posexplode("v").alias("i", "x"))
     return rows.groupBy("doc_id", F.col("i").cast("long").alias("i")).agg(r6(F.sum(F.col("w") * F.col("x"))).alias("x"))
 
 
@@ -331,7 +324,6 @@ def snmf_inverse(spark, sf):
         f"SELECT {q6('3 * (n + v) * ln(n * v) + n * v * ln(rss / (n * v))')} AS bic FROM (SELECT (SELECT count(*) FROM w_{STEPS}) AS n, (SELECT count(*) FROM h_{STEPS}) AS v, own - 2 * crossed + crossed2 AS rss FROM (SELECT sum(x * x) AS own, sum(x * (" + " + ".join(f"w{i} * h{i}" for i in _RANGE) + f")) AS crossed FROM cells JOIN w_{STEPS} USING (doc_id) JOIN h_{STEPS} USING (term)), (SELECT " + " + ".join(f"a.g{i}{j} * b.g{i}{j}" for i in _RANGE for j in _RANGE) + " AS crossed2 FROM ga a, gb b))",
         ga=_gram(f"w_{STEPS}", "w"),
         gb=_gram(f"h_{STEPS}", "h"),
-        frequent=_FREQUENT,
         **_nmf_parts(_COUNT_CELLS),
     )
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from themeloom.plans import lexical, models, structure, topics, vectors  # noqa: F401
+from themeloom.plans import fitted, lexical, models, structure, topics, vectors  # noqa: F401
 from themeloom.plans.register import ORACLES, QUERIES, Query
 
 

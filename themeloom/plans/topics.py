@@ -151,7 +151,7 @@ def topic_share(spark, sf):
     return out
 
 
-@query(with_(f"SELECT rank, {q6('quantile_cont(w, 0.025)')} AS low, {q6('quantile_cont(w, 0.5)')} AS median, {q6('quantile_cont(w, 0.975)')} AS high FROM (SELECT weight AS w, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, topic_id) AS rank FROM soft) GROUP BY rank"))
+@query(with_(f"SELECT rank, {q6('quantile_cont(w, 0.025)')} AS low, {q6('quantile_cont(w, 0.5)')} AS median, {q6('quantile_cont(w, 0.975)')} AS high FROM (SELECT w, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, topic_id) AS rank FROM (SELECT doc_id, topic_id, round(weight, 6) AS w FROM soft)) GROUP BY rank"))
 def topic_decay(spark, sf):
     return ranking.decay(tables.soft_topics(corpus(spark, sf))).select(F.col("rank").cast("long").alias("rank"), *(r6(c).alias(c) for c in ("low", "median", "high")))
 

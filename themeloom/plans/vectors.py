@@ -183,12 +183,12 @@ def topic_embedding(spark, sf):
     return similarity.topic_embedding(rows, soft, "vec_id", "embedding").select("topic_id", F.col("i").cast("long").alias("i"), r6("x").alias("x"))
 
 
-@query(with_(f"SELECT a.vec_id, a.i, {q6('CASE WHEN a.vec_id % 7 = 0 THEN a.x ELSE (a.x + b.x) / 2 END')} AS x FROM emx a JOIN emx b ON b.i = a.i AND b.vec_id = (a.vec_id + 250) % 500 WHERE a.vec_id < 500"))
+@query(with_(f"SELECT a.vec_id, a.i, {q6('CASE WHEN a.vec_id % 7 = 0 OR b.x IS NULL THEN a.x ELSE (a.x + b.x) / 2 END')} AS x FROM emx a LEFT JOIN emx b ON b.i = a.i AND b.vec_id = a.vec_id + CASE WHEN a.vec_id % 2 = 0 THEN 1 ELSE -1 END"))
 def multimodal_join(spark, sf):
     """Text vectors with image vectors, every seventh image missing."""
-    rows = table(spark, sf, "embeddings").where("vec_id < 500").select("vec_id", "embedding")
-    images = rows.select(((F.col("vec_id") + 250) % 500).alias("vec_id"), F.when(F.col("vec_id") >= 0, F.col("embedding")).alias("image"))
-    both = rows.join(images, "vec_id").withColumn("image", F.when(F.col("vec_id") % 7 != 0, F.col("image")))
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    images = rows.select((F.col("vec_id") + F.when(F.col("vec_id") % 2 == 0, 1).otherwise(-1)).alias("vec_id"), F.col("embedding").alias("image"))
+    both = rows.join(images, "vec_id", "left").withColumn("image", F.when(F.col("vec_id") % 7 != 0, F.col("image")))
     return both.select("vec_id", F.posexplode(similarity.multimodal("embedding", "image")).alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), r6("x").alias("x"))
 
 

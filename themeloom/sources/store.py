@@ -12,6 +12,7 @@ from pathlib import Path
 
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -45,6 +46,11 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, width: int, limit: int = 16 << 20) -> DataFrame:
+    """df, which is a settled table, with a broadcast hint if its counted rows of that width stay under limit bytes; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() * width <= limit else df
+
+
 def save(path: str, spark: SparkSession, tables: Mapping[str, DataFrame], params: Mapping | None = None) -> None:
     """A model or topic data: a Parquet folder a table, and a manifest with parameters and versions."""
     for name, df in tables.items():
