@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from themeloom.functions import cosine, hash_vector, r6
-from themeloom.operators import evaluate, importance, similarity
+from themeloom.operators import bags, evaluate, importance, similarity
 from themeloom.plans.register import query
 from themeloom.plans.sql import r6 as q6
 from themeloom.plans.sql import with_
@@ -15,9 +15,8 @@ from themeloom.sources.tables import corpus, table
 
 def _spaces(spark, sf):
     """Counts, term vectors and document vectors in the hash encoder's space."""
-    counts = tables.dtm(corpus(spark, sf))
-    terms = tables.term_vectors(counts.select("term").distinct())
-    return counts, terms, tables.document_vectors(counts, terms)
+    found = bags.bags(corpus(spark, sf), 10)
+    return bags.cells(found), tables.term_vectors(bags.names(found)), bags.vectors(found)
 
 
 _NORMS = dict(
@@ -30,8 +29,7 @@ _NORMS = dict(
 
 @query(with_("SELECT doc_id, term, sim, rank FROM kw WHERE rank <= 10", **_NORMS))
 def keyword_extract(spark, sf):
-    counts, terms, docs = _spaces(spark, sf)
-    return similarity.keywords(similarity.keyword_scores(counts, terms, docs), 10).withColumn("rank", F.col("rank").cast("long"))
+    return similarity.keywords(bags.scores(bags.bags(corpus(spark, sf), 10), 10), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 _SEED = "list_transform(range(1, 33), lambda i: instr('0123456789abcdef', substr(md5('shonha'), i, 1)) * 2 - 17)"
@@ -45,9 +43,8 @@ _SEED = "list_transform(range(1, 33), lambda i: instr('0123456789abcdef', substr
     )
 )
 def seed_relevance(spark, sf):
-    counts, terms, docs = _spaces(spark, sf)
-    seed = spark.range(1).select(hash_vector(F.lit("shonha")).alias("s"))
-    return similarity.seed_relevance(similarity.keyword_scores(counts, terms, docs), docs, seed).select("doc_id", "term", r6("sim").alias("sim"))
+    rows = bags.scores(bags.bags(corpus(spark, sf), 10), seed="shonha")
+    return rows.select("doc_id", "term", r6(F.col("sim") * F.pow(F.greatest(F.lit(0.0), "near"), F.lit(2.0))).alias("sim"))
 
 
 _MATCH = dict(
