@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeloom.functions import hash_vector
-from themeloom.operators import cluster, factor, hierarchy, importance, naming, ranking, similarity, text, timebins
+from themeloom.operators import bags, cluster, factor, hierarchy, importance, naming, ranking, similarity, text, timebins
 from themeloom.sources import store, tables
 from themeloom.sources.store import settle, small
 from themeloom.streaming import online
@@ -45,6 +45,18 @@ class TopicModel:
     image_topics: DataFrame | None = field(default=None, init=False)
     names: dict[int, str] = field(default_factory=dict, init=False)
 
+    #: Latest counts by the built-in words, with their bags; and whether term_vectors are the hash encoder's.
+    _bags, _hashed = (), False
+
+    def _kept(self, rows: DataFrame) -> DataFrame:
+        counts = bags.cells(rows)
+        self._bags = ((counts, rows), *self._bags[:3])
+        return counts
+
+    def _bag_of(self, counts: DataFrame) -> DataFrame:
+        """counts with a document a row."""
+        return next((rows for c, rows in self._bags if c is counts), None) or bags.of(counts)
+
     def _words(self, docs: DataFrame) -> DataFrame:
         """doc_id, term, tf of all words."""
         docs = docs.where("doc_id is not null")
@@ -54,6 +66,9 @@ class TopicModel:
         return text.doc_terms(words.where(~F.col("term").isin(list(self.stop))) if self.stop else words)
 
     def _count(self, docs: DataFrame, min_df: int | None = None) -> DataFrame:
+        if self.tokenizer is None:
+            self.counts = self._kept(bags.bags(docs.where("doc_id is not null"), self.min_df if min_df is None else min_df, self.stop))
+            return self.counts
         words = settle(self._words(docs))
         vocab = settle(text.vocabulary(words, self.min_df if min_df is None else min_df).select("term"))
         self.counts = settle(words.join(small(vocab, 40), "term").select("doc_id", "term", "tf"))
@@ -61,6 +76,8 @@ class TopicModel:
 
     def _known(self, docs: DataFrame, vocab: DataFrame) -> DataFrame:
         """Counts of the fitted terms."""
+        if self.tokenizer is None:
+            return self._kept(bags.bags(docs.where("doc_id is not null"), stop=self.stop, vocab=vocab))
         vocab = settle(vocab.select("term").distinct())
         return settle(self._words(docs).join(small(vocab, 40), "term").select("doc_id", "term", "tf"))
 
@@ -74,7 +91,7 @@ class TopicModel:
             return settle(vectors.select("doc_id", "v").where("doc_id is not null and v is not null"))
         if self.encoder is not None:
             return settle(self.encoder(docs.where("doc_id is not null").select(F.col("doc_id").alias("key"), "text")).select(F.col("key").alias("doc_id"), "v"))
-        some = tables.document_vectors(counts, terms)
+        some = bags.vectors(self._bag_of(counts)) if self._hashed else tables.document_vectors(counts, terms)
         zero = F.array_repeat(F.lit(0).cast(some.schema["v"].dataType.elementType), 32)
         return settle(docs.select("doc_id").where("doc_id is not null").distinct().join(some, "doc_id", "left").select("doc_id", F.coalesce("v", zero).alias("v")))
 
@@ -82,6 +99,7 @@ class TopicModel:
         """Vectors of the terms and of the documents, of one length."""
         if self.encoder is None and (vectors is None) != (term_vectors is None):
             raise ValueError("vectors of documents and term_vectors, or an encoder, must come together: the hash vectors are another space")
+        self._hashed = self.encoder is None and term_vectors is None
         names = counts.select("term").distinct()
         self.term_vectors = self._vectors_of_terms(names) if term_vectors is None else settle(term_vectors.select("term", "v").where("v is not null").join(names, "term"))
         self.vectors = self._vectors_of_documents(docs, counts, vectors, self.term_vectors)
@@ -222,9 +240,14 @@ class KeyNMF(TopicModel):
         """doc_id, term, x: the top_n terms of each document, of positive similarity."""
         counts = self._count(docs) if counts is None else counts
         terms, found = self._spaces(docs, counts, vectors, term_vectors)
-        return self._near(docs, counts, terms, found)
-
-    def _near(self, docs: DataFrame, counts: DataFrame, terms: DataFrame, vectors: DataFrame) -> DataFrame:
+        return self._near(docs, counts, terms, found, self._hashed)
+
+    def _near(self, docs: DataFrame, counts: DataFrame, terms: DataFrame, vectors: DataFrame, own: bool = False) -> DataFrame:
+        """own: the documents' vectors are the sums of these counts' hash vectors."""
+        if self._hashed and self.seed_phrase is None:
+            rows = self._bag_of(counts)
+            scores = bags.scores(rows if own else rows.join(vectors.select("doc_id", "v"), "doc_id"), self.top_n, self.metric)
+            return similarity.keywords(scores, self.top_n).select("doc_id", "term", F.col("sim").alias("x"))
         scores = similarity.keyword_scores(counts, small(terms, 400), vectors, self.metric)
         if self.seed_phrase is not None:
             one = docs.sparkSession.createDataFrame([(self.seed_phrase,)], "text string")

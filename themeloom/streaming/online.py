@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.operators import text
-from themeloom.operators.factor import TINY, gram, start, times
+from themeloom.operators import packed, text
+from themeloom.operators.factor import TINY, gram, multiply, start, times
 from themeloom.sources.store import settle
 
 
@@ -19,6 +20,12 @@ def online_step(h: DataFrame | None, batch: DataFrame, k: int, decay: float = 0.
     terms = batch.select("term").distinct()
     fresh = start(terms if h is None else terms.join(h, "term", "left_anti"), "term", k, "h")
     h = settle(fresh if h is None else h.unionByName(fresh))
+    if (cells := packed.of(settle(packed.pack(batch)), k, start, multiply, h)) is not None:
+        for _ in range(inner):
+            cells.step(cells.h, cells.h.T @ cells.h)
+        n, ww, _ = cells.sums()
+        moved = np.where(cells.seen[:, None], cells.h * decay + multiply(cells.h, n, ww) * (1 - decay), cells.h)
+        return settle(cells.terms(moved))
     w = start(batch.select("doc_id").distinct(), "doc_id", k, "w")
     cells = settle(batch.join(h, "term"))
     hh = gram(h, "h", k)
