@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from themeloom.functions import cosine, hash_vector, r6
+from themeloom.functions import hash_vector, r6
 from themeloom.operators import bags, evaluate, importance, similarity
 from themeloom.plans.register import query
 from themeloom.plans.sql import r6 as q6
@@ -48,7 +48,7 @@ def seed_relevance(spark, sf):
 
 
 _MATCH = dict(
-    nodes="SELECT term, v FROM tv JOIN voc USING (term) WHERE df >= (SELECT 0.1 * count(*) FROM documents)",
+    nodes="SELECT term, v FROM tv",
     edges="SELECT a.term AS a, b.term AS b FROM nodes a JOIN nodes b ON a.term <> b.term WHERE round(CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS DOUBLE) / (sqrt(list_sum(list_transform(a.v, lambda x: x * x))) * sqrt(list_sum(list_transform(b.v, lambda x: x * x)))), 6) >= 0.45",
 )
 
@@ -56,13 +56,7 @@ _MATCH = dict(
 @query("WITH RECURSIVE " + with_("SELECT n.term, min(r.b) AS root FROM nodes n JOIN reach r ON r.a = n.term GROUP BY n.term", reach="SELECT term AS a, term AS b FROM nodes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b", **_MATCH).removeprefix("WITH ").replace("reach AS MATERIALIZED", "reach AS"))
 def term_match(spark, sf):
     """Components of terms whose vectors' cosine is 0.45 or more; an equal vector is a chance here, a translation in a shared space."""
-    docs = corpus(spark, sf)
-    counts = tables.dtm(docs)
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(docs.agg((F.count(F.lit(1)) * 0.1).alias("least")))).where("df >= least")
-    nodes = tables.term_vectors(df)
-    a, b = nodes.select(F.col("term").alias("a"), F.col("v").alias("x")), nodes.select(F.col("term").alias("b"), F.col("v").alias("y"))
-    similar = a.join(b, F.col("a") < F.col("b")).where(r6(cosine("x", "y")) >= 0.45).select("a", "b")
-    return similarity.merge_terms(similar, nodes).select("term", "root")
+    return similarity.alike(bags.frequent(bags.counted(corpus(spark, sf)), 10))
 
 
 _CEN = "SELECT topic_id, list(x ORDER BY i) AS v FROM cen GROUP BY topic_id"
