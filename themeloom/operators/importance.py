@@ -9,7 +9,10 @@ EPS = 2.220446049250313e-16
 
 
 def topic_counts(dtm: DataFrame, labels: DataFrame, *keys: str) -> DataFrame:
-    """topic_id, term, tf; further keys of labels, such as a time bin, are kept."""
+    """topic_id, term, tf; further keys of labels, such as a time bin, are kept. dtm may be bags, which are joined a document a row."""
+    if "terms" in dtm.columns:
+        each = F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf")))
+        return dtm.join(labels, "doc_id").select("topic_id", *keys, each).groupBy("topic_id", "term", *keys).agg(F.sum("tf").alias("tf"))
     return dtm.join(labels, "doc_id").groupBy("topic_id", "term", *keys).agg(F.sum("tf").alias("tf"))
 
 

@@ -10,6 +10,7 @@ from themeloom.plans.register import query
 from themeloom.plans.sql import r6 as q6
 from themeloom.plans.sql import with_
 from themeloom.sources import tables
+from themeloom.sources.store import settle
 from themeloom.sources.tables import corpus, table
 
 
@@ -91,9 +92,10 @@ def centroid_importance(spark, sf):
 )
 def combined_importance(spark, sf):
     docs = corpus(spark, sf)
-    counts, terms, vectors = _spaces(spark, sf)
+    found = bags.bags(docs, 10)
+    terms, vectors = tables.term_vectors(bags.names(found)), bags.vectors(found)
     labels = tables.language_topics(docs)
-    full = importance.dense(importance.topic_counts(counts, labels), labels, counts.select("term").distinct())
+    full = settle(importance.dense(importance.topic_counts(found, labels), labels, bags.names(found)))
     npmi = importance.npmi(full, labels.groupBy("topic_id").agg(F.count(F.lit(1)).alias("m")))
     means = similarity.centroids(vectors.join(labels, "doc_id"), "topic_id", "v")
     return importance.combined(npmi, similarity.centroid_importance(means, terms)).select("topic_id", "term", r6("weight").alias("weight"))
@@ -132,11 +134,12 @@ def topic_distance(spark, sf):
 )
 def cluster_transform_lexical(spark, sf):
     docs = corpus(spark, sf)
-    counts = tables.dtm(docs)
+    found = bags.bags(docs, 10)
+    counts = bags.cells(found)
     n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
     idf = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n_docs)).select("term", F.log(F.col("n") / F.col("df")).alias("idf"))
-    weights = importance.ctf_idf(importance.topic_counts(counts, tables.language_topics(docs)))
-    return similarity.lexical_transform(counts, idf, weights).select("doc_id", "topic_id", r6("weight").alias("weight"))
+    weights = settle(importance.ctf_idf(importance.topic_counts(found, tables.language_topics(docs))))
+    return similarity.lexical_transform(found, idf, weights).select("doc_id", "topic_id", r6("weight").alias("weight"))
 
 
 @query(with_(f"SELECT vec_id, c.topic_id, {q6('sum(e.x * c.x) / (sqrt(sum(e.x * e.x)) * sqrt(sum(c.x * c.x)))')} AS weight FROM emx e JOIN cen c USING (i) GROUP BY ALL"))
