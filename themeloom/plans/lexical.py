@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from themeloom.functions import clean, dress_html, r6, strip_think
-from themeloom.operators import ranking, text
+from themeloom.operators import bags, ranking, text
 from themeloom.plans.register import query
 from themeloom.plans.sql import TOKEN, with_
 from themeloom.plans.sql import r6 as q6
@@ -170,13 +170,8 @@ def topk_activation(spark, sf):
 )
 def latent_terms(spark, sf):
     """Term activations through a top-4 gate (identity weights), summed by document, square root."""
-    from pyspark.sql import Window
-
-    counts = tables.dtm(corpus(spark, sf))
-    vectors = tables.term_vectors(counts.select("term").distinct()).select("term", F.posexplode("v").alias("latent", "x"))
-    gate = vectors.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("x"), "latent"))).where("r <= 4 AND x > 0")
-    rows = counts.join(gate, "term").groupBy("doc_id", "latent").agg(F.sqrt(F.sum(F.col("tf") * F.col("x").cast("double"))).alias("weight"))
-    return rows.select("doc_id", F.col("latent").cast("long").alias("latent"), r6("weight").alias("weight"))
+    rows = bags.latents(bags.bags(corpus(spark, sf), 10))
+    return rows.select("doc_id", "latent", r6(F.sqrt("a")).alias("weight"))
 
 
 _COUNTS = "SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL"
