@@ -8,11 +8,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from themeloom.functions import r6
-from themeloom.operators import hierarchy, importance, ranking, similarity
+from themeloom.operators import bags, hierarchy, importance, ranking, similarity
 from themeloom.plans.register import query
 from themeloom.plans.sql import r6 as q6
 from themeloom.plans.sql import with_
 from themeloom.sources import store, tables
+from themeloom.sources.store import settle
 from themeloom.sources.tables import corpus, table
 from themeloom.streaming import online
 
@@ -151,11 +152,11 @@ def topic_retrieval(spark, sf):
     from themeloom.operators import text
 
     docs = corpus(spark, sf)
-    counts = tables.dtm(docs)
-    weights = importance.ctf_idf(importance.topic_counts(counts, tables.language_topics(docs))).withColumn("weight", r6("weight"))
+    found = bags.bags(docs, 10)
+    weights = settle(importance.ctf_idf(importance.topic_counts(found, tables.language_topics(docs))).withColumn("weight", r6("weight")))
     asked = text.tokens(table(spark, sf, "benchmark").where("item_id = 0").withColumnRenamed("item_id", "doc_id")).select("term")
     best = weights.join(F.broadcast(asked), "term").groupBy("topic_id").agg(F.round(F.sum("weight"), 3).alias("s")).agg(F.max_by("topic_id", "s").alias("topic_id"))
-    scores = counts.join(weights.join(F.broadcast(best), "topic_id").select("term", "weight"), "term").groupBy("doc_id").agg(r6(F.sum(F.col("weight") * F.col("tf"))).alias("score"))
+    scores = bags.weighted(found, weights.join(F.broadcast(best), "topic_id")).select("doc_id", r6("p").alias("score"))
     return ranking.top(scores.withColumn("one", F.lit(1)), ["one"], "score", "doc_id", 20).select("doc_id", F.col("rank").cast("long").alias("rank"), "score")
 
 
