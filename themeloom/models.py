@@ -368,7 +368,7 @@ class ClusteringTopicModel(TopicModel):
 
     def estimate(self, how: str) -> None:
         """Term importance of the current labels, computed once by group-bys."""
-        rows = importance.topic_counts(self.counts, self.labels)
+        rows = importance.topic_counts(self._bag_of(self.counts), self.labels)
         if how in ("npmi", "fighting-words"):
             full = importance.dense(rows, self.labels, self.counts.select("term").distinct())
             out = importance.fighting_words(full) if how == "fighting-words" else importance.npmi(full, self.labels.groupBy("topic_id").agg(F.count(F.lit(1)).alias("m")))
@@ -395,7 +395,7 @@ class ClusteringTopicModel(TopicModel):
             a = self.labels.agg(F.count(F.lit(1)).alias("a")) if self.feature_importance == "soft-c-tf-idf" else per_term.agg(F.sum("f").alias("a")).crossJoin(topics.agg(F.count(F.lit(1)).alias("k"))).select(F.try_divide("a", "k").alias("a"))
             ratio = F.try_divide("a", "f")
             idf = per_term.crossJoin(F.broadcast(a)).select("term", F.log(ratio if self.feature_importance == "soft-c-tf-idf" else 1 + ratio).alias("idf"))
-            found = similarity.lexical_transform(counts, small(settle(idf), 48), self.topic_terms)
+            found = similarity.lexical_transform(self._bag_of(counts), idf, self.topic_terms)
             return every.join(found, ["doc_id", "topic_id"], "left").select("doc_id", "topic_id", F.coalesce("weight", F.lit(0.0)).alias("weight"))
         own = self.labels.select("doc_id", "topic_id", F.lit(1.0).alias("weight"))
         return every.join(own, ["doc_id", "topic_id"], "left").select("doc_id", "topic_id", F.coalesce("weight", F.lit(0.0)).alias("weight"))
@@ -566,7 +566,7 @@ class GMM(TopicModel):
         self.parts = [pca, GaussianMixture(k=self.n_topics, seed=self.seed, featuresCol="z").fit(pca.transform(rows))]
         self.document_topics = settle(self._shares(self.vectors))
         n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-        self.topic_terms = settle(importance.soft_ctf_idf(importance.soft_counts(counts, self.document_topics), n_docs))
+        self.topic_terms = settle(importance.soft_ctf_idf(bags.soft_counts(self._bag_of(counts), self.document_topics), n_docs))
         return self
 
     def _shares(self, vectors: DataFrame) -> DataFrame:
