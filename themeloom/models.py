@@ -279,8 +279,14 @@ class KeyNMF(TopicModel):
     def transform(self, docs: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
         """doc_id, topic_id, weight of documents under the fitted terms; zeros where a document has none of them."""
         self._fitted()
-        counts = self._known(docs, self.term_factor)
-        cells = self._near(docs, counts, self.term_vectors, self._new_vectors(docs, vectors))
+        if vectors is None and self.encoder is None and self.tokenizer is None:
+            every = self._known(docs, self.term_vectors)
+            found = self._vectors_of_documents(docs, every, None, self.term_vectors)
+            same_length(self.vectors, found)
+            counts = self._kept(bags.kept(self._bag_of(every), self.term_factor))  # whose terms are among term_vectors: the text is read once
+        else:
+            counts, found = self._known(docs, self.term_factor), self._new_vectors(docs, vectors)
+        cells = self._near(docs, counts, self.term_vectors, found)
         return factor.long(factor.solve_rows(cells, docs, self.term_factor, self.n_topics), "doc_id", "w", self.n_topics)
 
     def _by_bin(self, at: DataFrame) -> DataFrame:
